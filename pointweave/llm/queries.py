@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointweave.llm import bpe, common, tokens
+from pointweave.llm import bpe, common, html, pii, tokens, toxicity
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(common.table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract(common.table(spark, sf_dir, "pages"))
+
+
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every document's ids as shards and read them back."""
     path = common.shared_dir(spark, "token-shards")
@@ -21,5 +26,18 @@ def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read(spark, path, with_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op5_token_shards)}
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.tag(common.table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, by a lexicon learned outside the held-out part."""
+    documents = common.table(spark, sf_dir, "documents")
+    model = toxicity.train(documents, common.table(spark, sf_dir, "labels"))
+    rows = common.narrow(documents, doc_id="doc_id", text="text")
+    return toxicity.score(rows, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op3_main_text, op5_token_shards, op6_personal_data, op7_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
