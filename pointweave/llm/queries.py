@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointweave.llm import bpe, common, html, pii, tokens, toxicity
+from pointweave.llm import bpe, common, html, pii, quality, sketch, tokens, toxicity
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,5 +39,18 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(rows, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op3_main_text, op5_token_shards, op6_personal_data, op7_toxicity)}
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, by a decision list learned from labelled ones."""
+    documents = common.table(spark, sf_dir, "documents")
+    rules = quality.train(documents, common.table(spark, sf_dir, "labels"))
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality.judge(documents, rules).select(*columns)
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, compared."""
+    return sketch.compare_edited(common.table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op3_main_text, op5_token_shards, op6_personal_data, op7_toxicity, op8_quality_rules, op10_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}
