@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-MAGIC, SCALE, LANES, BLOCK, STEP = b"RNS1", 20, 64, 1 << 16, 256
+MAGIC, SCALE, LANES, BLOCK, STEP = b"RNS1", 20, 256, 1 << 16, 128
 LOW = np.uint64(1 << 32)
 _SHIFT, _HALF, _MASK = np.uint64(SCALE), np.uint64(32), np.uint64((1 << SCALE) - 1)
 

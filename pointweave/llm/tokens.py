@@ -10,6 +10,7 @@ loss of executors.  ``read`` decodes shards wherever they lie.
 from __future__ import annotations
 
 import functools
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pointweave.llm import common, rans
+from pointweave.llm.bpe import byte_characters
 from pointweave.llm.pretokens import PretokenEncoder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -31,16 +33,18 @@ SHARD = "part int, shard int, n_ids bigint, doc_ids array<bigint>, payload binar
 class LibraryBPE:
     """The tokenizers library's encoding of a byte-level BPE file, word by word through bounded caches."""
 
-    def __init__(self, path: str, pattern: str, most: int = 400_000):
+    def __init__(self, path: str, pattern: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         if tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("the vocabulary does not fit 16-bit ids")
 
-        def pretoken(s: str) -> bytes:
-            return np.array(tokenizer.encode(s, add_special_tokens=False).ids, "<u2").tobytes()
+        model, table = tokenizer.model, dict(enumerate(byte_characters()))
+
+        def pretoken(s: str) -> bytes:  # the library's merges, without cutting and offsets once more
+            ids = [t.id for t in model.tokenize(s.encode().decode("latin-1").translate(table))]
+            return struct.pack(f"<{len(ids)}H", *ids)
 
         self.texts = PretokenEncoder(pattern, pretoken, most)
 
