@@ -44,6 +44,8 @@ _WORD = re.compile(r"[a-z]+")
 LEAST_PAGES = 8
 #: Characters of markup that a group holds, more or less, so that a worker's memory is bounded.
 GROUP_CHARS = 1 << 20
+#: Hosts up to which their sizes are broadcast, so that a large host's pages needn't meet for the join.
+MOST_BROADCAST = 20_000
 
 
 @dataclass
@@ -226,6 +228,9 @@ def extract(df: DataFrame) -> DataFrame:
     """
     rows = common.narrow(df, page_id="page_id", url="url", html="html").withColumn("html", common.text_or_empty("html")).withColumn("host", host())
     sizes = rows.groupBy("host").agg(F.ceil(F.sum(F.length("html") + 100) / GROUP_CHARS).alias("groups"))
+    sizes = common.stored(sizes, "html-hosts")
+    if sizes.count() <= MOST_BROADCAST:
+        sizes = F.broadcast(sizes)
     dealt = rows.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.greatest("groups", F.lit(1))))
     spark = df.sparkSession
     kinds = {k: df.schema[k].dataType.simpleString() for k in ("page_id", "url")}
