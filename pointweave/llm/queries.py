@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointweave.llm import bpe, common, html, pii, quality, sketch, tokens, toxicity
+from pointweave.llm import bpe, common, html, minhash, pii, quality, sketch, tokens, toxicity
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,10 +47,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents, rules).select(*columns)
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents: 3-word shingles, likeness 0.85 or more."""
+    return minhash.components(common.table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text, compared."""
     return sketch.compare_edited(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op3_main_text, op5_token_shards, op6_personal_data, op7_toxicity, op8_quality_rules, op10_fingerprints)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op3_main_text, op5_token_shards, op6_personal_data, op7_toxicity, op8_quality_rules, op9_near_duplicates, op10_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}
