@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointweave.llm import bpe, common, html, minhash, pii, quality, sketch, tokens, toxicity
+from pointweave.llm import bpe, common, html, minhash, pii, quality, sketch, substrings, tokens, toxicity
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(common.table(spark, sf_dir, "pages"))
 
 
+def op4_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that 100-byte strings repeat."""
+    return substrings.repeated(common.table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every document's ids as shards and read them back."""
     path = common.shared_dir(spark, "token-shards")
@@ -57,5 +62,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.compare_edited(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op3_main_text, op5_token_shards, op6_personal_data, op7_toxicity, op8_quality_rules, op9_near_duplicates, op10_fingerprints)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op3_main_text, op4_repeated_substrings, op5_token_shards, op6_personal_data, op7_toxicity, op8_quality_rules, op9_near_duplicates, op10_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}
