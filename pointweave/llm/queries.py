@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointweave.llm import bpe, common, html, minhash, pii, quality, sketch, substrings, tokens, toxicity
+from pointweave.llm import bpe, common, html, minhash, mixing, pii, quality, sketch, substrings, tokens, toxicity
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(common.table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document in a mixture of its sources."""
+    placed = mixing.mixed(common.table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "source", "mix_block", "mix_slot", "mix_position")
+
+
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html.extract(common.table(spark, sf_dir, "pages"))
@@ -62,5 +68,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.compare_edited(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op3_main_text, op4_repeated_substrings, op5_token_shards, op6_personal_data, op7_toxicity, op8_quality_rules, op9_near_duplicates, op10_fingerprints)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_mixing, op3_main_text, op4_repeated_substrings, op5_token_shards, op6_personal_data, op7_toxicity, op8_quality_rules, op9_near_duplicates, op10_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}
