@@ -29,6 +29,7 @@ from pointweave.llm import common
 RAW = ("script", "style", "noscript", "template", "iframe", "svg", "textarea", "title", "xmp", "noembed", "noframes", "canvas", "object", "audio", "video", "math")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
+ENDED_BY_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6".split())
 DROPPED = frozenset("nav menu footer aside form button select option dialog head fieldset optgroup datalist".split())
 #: Words of class, id and role that mark what isn't the article.
 DROPPED_WORDS = frozenset(
@@ -79,7 +80,9 @@ def parse(html: str) -> Page:
             cut = re.search(r"<[/!a-zA-Z][^>]*\Z", rest)  # a tag that the page's end cuts off
             text.append(rest[: cut.start()] if cut else rest)
             break
-        text.append(html[at : m.start()])
+        silent = bool(stack) and stack[-1][3] and stack[-1][0] in INLINE  # inside an advert in the middle of a text
+        if not silent:
+            text.append(html[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
@@ -93,23 +96,28 @@ def parse(html: str) -> Page:
         attributes = {a.lower(): (x or y or z or "") for a, x, y, z in _ATTRIBUTE.findall(m[3])} if m[3] else {}
         words = set(_WORD.findall(" ".join(attributes.get(k, "") for k in ("class", "id", "role")).lower())) if attributes else set()
         hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true"
-        if name in INLINE and not (words & DROPPED_WORDS) and not hidden:
+        if name in INLINE and not (words & DROPPED_WORDS) and not hidden and not any(s[0] == name for s in stack):
             if name == "br":
                 text.append(" ")
             continue
         if closing:
             if name in INLINE and not any(s[0] == name for s in stack):
                 continue
-            flush()
+            if name not in INLINE:
+                flush()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     page.tokens.append("/".join(path[: k + 1]) + ">")
                     del stack[k:], path[k:]
                     break
             continue
-        flush()
+        if name not in INLINE:
+            flush()
         if name in VOID:
             continue
+        if stack and stack[-1][0] in ENDED_BY_BLOCKS and name not in INLINE:  # its end tag was left out
+            stack.pop()
+            path.pop()
         if name in ("p", "li", "tr", "td", "th", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6") and words.isdisjoint(DROPPED_WORDS) and not hidden:
             continue  # they part blocks, hold no other containers, and are often left open
         _, article, main, dropped = stack[-1] if stack else ("", False, False, False)
