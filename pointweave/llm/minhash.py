@@ -156,7 +156,10 @@ def components(df: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     classes = common.stored(real.groupBy("digest").agg(F.min("doc_id").alias("id")), "minhash-classes")
     met = real.join(classes.withColumnRenamed("digest", "own"), (F.col("doc_id") == F.col("id")) & (F.col("digest") == F.col("own"))).select("id", F.explode("key").alias("key"))
     shared = met.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("most")).where("hub <> most").select("key", "hub")
-    edges = met.join(shared, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    hubs = met.join(shared, "key").groupBy("id").agg(F.collect_set("hub").alias("hubs"))  # at most one for each band
+    # a class goes with its least hub, and so do its other hubs, in place of an edge to each
+    least = hubs.select("id", F.array_min("hubs").alias("a"), "hubs")
+    edges = least.select("a", F.col("id").alias("b")).unionByName(least.select("a", F.explode("hubs").alias("b"))).where("a <> b").distinct()
     near = graph.components(edges, "minhash-candidates")
     found = common.stored(verified(rows, near, size, percent), "minhash-links")
     final = graph.components(found, "minhash-links")
@@ -180,7 +183,8 @@ def verified(rows: DataFrame, near: DataFrame, size: int, percent: int) -> DataF
     spark = rows.sparkSession
     counts = near.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = near.join(counts, "component").select("id", "component", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    wanted = rows.join(placed, rows["doc_id"] == placed["id"]).select("id", "component", "blocks", "block", "text")
+    # the same plan at every size: what is placed grows with the input
+    wanted = rows.hint("merge").join(placed, rows["doc_id"] == placed["id"]).select("id", "component", "blocks", "block", "text")
 
     def sets(batch) -> dict[str, list]:
         own = _sets(batch.column("text").to_pylist(), size)
