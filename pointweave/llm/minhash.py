@@ -176,11 +176,14 @@ def verified(rows: DataFrame, near: DataFrame, size: int, percent: int) -> DataF
     """Links ``a, b`` between classes of a candidate component, compared on full sets.
 
     A component is cut into blocks of about ``BLOCK`` classes by a hash of the
-    id; each pair of its blocks is one group of at most about twice as many
-    classes, so no component, however large, meets in one task.  A group
-    returns a spanning forest of its links, never all pairs.
+    id.  First each block is compared within itself and with the component's
+    least class, its centre: work in proportion to the component, which joins
+    nearly all of a tight group.  Then only classes that the centre doesn't
+    reach are compared with everything else, block by block.  So no component,
+    however large, meets in one task, and classes that are known to belong
+    together are not compared again.  Groups return spanning forests of their
+    links, never all pairs.
     """
-    spark = rows.sparkSession
     counts = near.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = near.join(counts, "component").select("id", "component", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
     # the same plan at every size: what is placed grows with the input
@@ -190,24 +193,45 @@ def verified(rows: DataFrame, near: DataFrame, size: int, percent: int) -> DataF
         own = _sets(batch.column("text").to_pylist(), size)
         return {k: batch.column(k) for k in ("id", "component", "blocks", "block")} | {"own": [s.tobytes() for s in own]}
 
-    full = common.map_batches(wanted, sets, "id bigint, component bigint, blocks int, block int, own binary")
-    # block i meets every block j: as the left one for i <= j, as the right one for i > j
-    dealt = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "id", "component", "own", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("block")
-    )
-    schema = common.arrow_schema(spark, "a bigint, b bigint")
+    full = common.stored(common.map_batches(wanted, sets, "id bigint, component bigint, blocks int, block int, own binary"), "minhash-sets")
+    large = F.col("blocks") > 1
+    centres = full.where(large & (F.col("id") == F.col("component"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    within = full.unionByName(centres.where("other <> block").withColumn("block", F.col("other")).drop("other"))
+    one = common.stored(_compared(within.select("component", F.lit(0).alias("kind"), F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"), "id", "own"), percent), "minhash-within")
+
+    label = graph.components(one, "minhash-within")
+    several = full.where(large).join(label.withColumnRenamed("component", "label"), "id", "left").withColumn("reached", (F.col("id") == F.col("component")) | F.coalesce(F.col("label") == F.col("component"), F.lit(False)))
+    apart = several.where("not reached")
+    numbers = apart.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    apart = apart.join(numbers, "component").withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int"))
+    reached = several.where("reached").join(numbers, "component")
+
+    def meets(df: DataFrame, kind: int, i, j, side: int) -> DataFrame:
+        return df.select("component", F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"), "id", "own")
+
+    def up_to(n):
+        return F.explode(F.sequence(F.lit(0), n - 1))
+
+    # kind 1: a part against a block of what the centre reaches; kind 2: parts against each other, i <= j
+    two = meets(apart.withColumn("o", up_to(F.col("blocks"))), 1, F.col("part"), F.col("o"), 0)
+    two = two.unionByName(meets(reached.withColumn("o", up_to(F.col("parts"))), 1, F.col("o"), F.col("block"), 1))
+    pair = apart.withColumn("o", up_to(F.col("parts")))
+    two = two.unionByName(meets(pair.where("part <= o"), 2, F.col("part"), F.col("o"), 0)).unionByName(meets(pair.where("part > o"), 2, F.col("o"), F.col("part"), 1))
+    return one.unionByName(_compared(two, percent))
+
+
+def _compared(dealt: DataFrame, percent: int) -> DataFrame:
+    """Links within each group ``component, kind, i, j``: between its sides if it has two, else among all."""
+    schema = common.arrow_schema(dealt.sparkSession, "a bigint, b bigint")
 
     def compare(group: pa.Table) -> pa.Table:
-        if group.num_rows < 2:
+        group = group.sort_by([("side", "ascending"), ("id", "ascending")])
+        ids, split = group.column("id").to_pylist(), group.column("side").to_pylist().count(0)
+        one_block = group.column("i")[0] == group.column("j")[0] and group.column("kind")[0].as_py() != 1
+        if len(ids) < 2 or (not one_block and split in (0, len(ids))):
             return schema.empty_table()
-        group = group.sort_by([("block", "ascending"), ("id", "ascending")])
-        ids = group.column("id").to_pylist()
         own = [np.frombuffer(x, np.uint64) for x in group.column("own").to_pylist()]
-        block, i, j = group.column("block").to_pylist(), group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        split = 0 if i == j else sum(b == i for b in block)
-        if i != j and split in (0, len(ids)):
-            return schema.empty_table()
-        pairs = linked(own, split, percent)
+        pairs = linked(own, 0 if one_block else split, percent)
         return pa.table([[ids[x] for x, _ in pairs], [ids[y] for _, y in pairs]], schema=schema)
 
-    return dealt.groupBy("component", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+    return dealt.groupBy("component", "kind", "i", "j").applyInArrow(compare, "a bigint, b bigint")
