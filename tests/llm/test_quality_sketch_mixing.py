@@ -31,7 +31,7 @@ def test_statistics(spark):
 def test_rules_find_planted_thresholds():
     r = np.random.default_rng(0)
     x = {k: r.random(600) for k in quality.FEATURES}
-    bad = (x["symbols_per_word"] > 0.7) | ((x["repeat_share"] > 0.6) & (x["upper_share"] <= 0.4))
+    bad = (x["symbols_per_word"] > 0.7) | ((x["repeat_share"] > 0.6) & (x["mean_word_chars"] <= 0.4))
     rules = quality.learn(x, bad)
     told = np.zeros(600, bool)
     for rule in rules:
