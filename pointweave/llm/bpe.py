@@ -79,7 +79,7 @@ def serialise_model(tokens: list[bytes]) -> bytes:
 class ByteBPE:
     """Encoder and decoder for one vocabulary."""
 
-    def __init__(self, path: str, pattern: str, most: int = 400_000):
+    def __init__(self, path: str, pattern: str, most: int = 250_000):
         import sentencepiece
 
         self.tokens = read_ranks(path)
