@@ -20,17 +20,23 @@ from pyspark.sql import functions as F
 
 from pointweave.llm import common, graph, hashing
 
-#: Length of a signature, bands, positions in a band.  At a likeness of 0.85 a
-#: band agrees with probability 0.17, so that about 10 of 60 do and the chance
-#: that none does is below 0.0005; at 0.4 it is 0.003 that a pair meets at all.
-LENGTH, BANDS, ROWS = 242, 60, 11
+#: Length of a signature, and positions in a band.
+LENGTH, ROWS = 242, 11
+#: Bands in which a pair just at the threshold agrees on average; the chance of
+#: none is about e to the minus that, a little more as a signature estimates.
+AGREEING = 10
 #: Classes that one block of the comparison holds.
 BLOCK = 512
 _STEPS = np.uint64(0x9E3779B97F4A7C15)
 
 
+def band_count(percent: int) -> int:
+    """Bands for a threshold: 60 for 85 %, 116 for 80 %."""
+    return round(AGREEING / (percent / 100) ** ROWS)
+
+
 @functools.cache
-def bands(length: int = LENGTH, count: int = BANDS, rows: int = ROWS) -> np.ndarray:
+def bands(count: int, length: int = LENGTH, rows: int = ROWS) -> np.ndarray:
     """The positions of each band: whole permutations cut in pieces, so that all positions serve alike."""
     rng = np.random.default_rng(20240229)
     flat = np.concatenate([rng.permutation(length)[: length // rows * rows] for _ in range(-(-count // (length // rows)))])
@@ -65,10 +71,10 @@ def super_min_hash(elements: np.ndarray, length: int = LENGTH) -> np.ndarray:
     return best
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
+def band_keys(signature: np.ndarray, count: int) -> np.ndarray:
     """A 64-bit key for each band."""
-    bits = hashing.mix(signature.view(np.uint64))[bands()]
-    key = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
+    bits = hashing.mix(signature.view(np.uint64))[bands(count)]
+    key = np.arange(count, dtype=np.uint64) + np.uint64(1)
     for i in range(ROWS):
         key = hashing.mix(key + bits[:, i])
     return key.view(np.int64)
@@ -146,9 +152,11 @@ def components(df: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """
     rows = common.narrow(df, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
+    count = band_count(percent)
+
     def summary(batch) -> dict[str, list]:
         sets = _sets(batch.column("text").to_pylist(), size)
-        keys = [band_keys(super_min_hash(x)) if len(x) else [] for x in sets]
+        keys = [band_keys(super_min_hash(x), count) if len(x) else [] for x in sets]
         return {"doc_id": batch.column("doc_id"), "n_shingles": [len(x) for x in sets], "digest": [_digest(x) for x in sets], "key": keys}
 
     known = common.stored(common.map_batches(rows, summary, "doc_id bigint, n_shingles bigint, digest binary, key array<bigint>"), "minhash-documents")
