@@ -307,7 +307,10 @@ def repeated(df: DataFrame) -> DataFrame:
     spans = compare(contexts(found.where("h is not null"), own))
     marks = found.where("h is null").select("doc", "tag", (F.col("at") - F.floor(F.col("ends") / 256)).cast("int").alias("start"), (F.col("at") - F.col("ends") % 256 + LENGTH).cast("int").alias("stop"))
     removed = marks.unionByName(spans).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    joined = rows.join(removed, ["doc", "tag"], "left").select("doc_id", F.col("text").cast("binary").alias("text"), "spans")
+    if ids:
+        joined = rows.join(removed, ["doc", "tag"], "left").select("doc_id", F.col("text").cast("binary").alias("text"), "spans")
+    else:  # the same columns as in contexts(), so that one shuffle of the texts serves both joins
+        joined = own.join(removed, ["doc", "tag"], "left").select(F.nullif(F.col("doc"), F.lit(-(2**63)).cast("bigint")).cast(df.schema["doc_id"].dataType).alias("doc_id"), F.col("text").cast("binary").alias("text"), "spans")
 
     def cut(batch) -> dict[str, list]:
         out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
