@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,23 +56,41 @@ def text_or_empty(c: str = "text"):
 
 
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], dict[str, list]], schema: str, rows: int = 256) -> DataFrame:
-    """``df`` through ``f``, a slice of at most ``rows`` rows at a time.
+    """``df`` through ``f``, a slice of at most ``rows`` rows and ``SLICE_BYTES`` of ``text`` at a time.
 
     ``f`` gets an Arrow batch and returns columns for ``schema``; small slices
-    bound a Python worker's memory where single texts are long.
+    bound a Python worker's memory where texts are long.  A longer text is a
+    slice of its own.
     """
     spark = df.sparkSession
     arrow = arrow_schema(spark, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                out = f(batch.slice(at, rows))
+            for at, n in slices(batch, rows):
+                out = f(batch.slice(at, n))
                 yield pa.RecordBatch.from_arrays([pa.array(out[x.name], type=x.type) for x in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
+#: Bytes of text in a slice.
+SLICE_BYTES = 1 << 21
+
+
+def slices(batch: pa.RecordBatch, rows: int) -> Iterator[tuple[int, int]]:
+    """Starts and lengths of a batch's slices."""
+    ends = np.zeros(batch.num_rows, np.int64)
+    if "text" in batch.schema.names:
+        ends = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + SLICE_BYTES, side="right"))))
+        yield at, stop - at
+        at = stop
+
+
 def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     """The Arrow form of a DDL schema."""
     from pyspark.sql.pandas.types import to_arrow_schema

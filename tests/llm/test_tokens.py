@@ -89,3 +89,15 @@ def test_shards(spark, reference):
     empty = common.shared_dir(spark, "test-shards")
     tokens.write(rows.where("false"), empty)
     assert tokens.read(spark, empty).count() == 0
+
+
+def test_slices_cover_a_batch():
+    import pyarrow as pa
+
+    texts = ["a" * 10, None, "b" * (3 << 20), "c", "d" * (1 << 20), "e" * (1 << 20), "f" * (1 << 20), ""]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    got = list(common.slices(batch, 3))
+    assert [i for at, n in got for i in range(at, at + n)] == list(range(len(texts))) and max(n for _, n in got) <= 3
+    assert all(n == 1 or sum(len(t or "") for t in texts[at : at + n]) <= common.SLICE_BYTES for at, n in got)
+    assert list(common.slices(batch.slice(0, 0), 3)) == []
+    assert list(common.slices(pa.RecordBatch.from_pydict({"x": [1, 2, 3]}), 2)) == [(0, 2), (2, 1)]
