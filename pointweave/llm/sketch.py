@@ -72,7 +72,8 @@ def with_next(rows: DataFrame, key: str, others: list[str], buckets: int | None
     # evenly spaced quantiles of one narrow column: n numbers come to the driver
     cuts = rows.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10 * n)).first()[0] or []
     bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast(f"array<{rows.schema[key].dataType.simpleString()}>")
-    dealt = rows.withColumn("part", F.coalesce(F.size(F.filter(bounds, lambda c: c <= F.col(key))), F.lit(0)))
+    part = F.coalesce(F.size(F.filter(bounds, lambda c: c <= F.col(key))), F.lit(0))
+    dealt = rows.withColumn("part", part).repartition(n, "part")  # a task fetches a few parts at a time only
     own = Window.partitionBy("part").orderBy(key, *others)
     value = F.struct(*others)
     placed = dealt.withColumn("following", F.lead(value).over(own)).withColumn("place", F.row_number().over(own))
@@ -92,11 +93,14 @@ def compare_edited(df: DataFrame, k: int = K, size: int = SIZE) -> DataFrame:
     an only document is its own next; other columns are ignored; an empty
     table stays empty.
     """
-    rows = common.narrow(df, doc_id="doc_id", text="text").withColumn("text", common.text_or_empty()).withColumn("sketch", sketch(F.col("text"), k, size))
-    out = with_next(rows, "doc_id", ["text", "sketch"]).withColumn("n_chars", F.length("text").cast("bigint"))
+    rows = common.narrow(df, doc_id="doc_id", text="text").withColumn("text", common.text_or_empty())
+    out = with_next(rows, "doc_id", ["text"]).withColumn("n_chars", F.length("text").cast("bigint"))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - quarter).cast("int")), F.substring(F.col("next.text"), F.lit(1), quarter))
-    out = out.withColumn("edited", edited).withColumn("edited_sketch", sketch(F.col("edited"), k, size))
+    out = out.withColumn("edited", edited)
+    # sketches are taken last, so that only texts are shuffled
+    for name, text in (("sketch", "text"), ("edited_sketch", "edited"), ("next_sketch", "next.text")):
+        out = out.withColumn(name, sketch(F.col(text), k, size))
     return out.select(
         "doc_id",
         "n_chars",
@@ -104,5 +108,5 @@ def compare_edited(df: DataFrame, k: int = K, size: int = SIZE) -> DataFrame:
         written(F.col("sketch")).alias("fingerprint"),
         written(F.col("edited_sketch")).alias("edited_fingerprint"),
         resemblance(F.col("sketch"), F.col("edited_sketch"), k).alias("near_edited"),
-        resemblance(F.col("sketch"), F.col("next.sketch"), k).alias("near_next"),
+        resemblance(F.col("sketch"), F.col("next_sketch"), k).alias("near_next"),
     )
