@@ -41,9 +41,11 @@ class LibraryBPE:
             raise ValueError("the vocabulary does not fit 16-bit ids")
 
         model, table = tokenizer.model, dict(enumerate(byte_characters()))
+        space = table[32]
 
         def pretoken(s: str) -> bytes:  # the library's merges, without cutting and offsets once more
-            ids = [t.id for t in model.tokenize(s.encode().decode("latin-1").translate(table))]
+            plain = s.isascii() and s[0] == " " and s[1:].isalpha()  # letters stand for themselves
+            ids = [t.id for t in model.tokenize(space + s[1:] if plain else s.encode().decode("latin-1").translate(table))]
             return struct.pack(f"<{len(ids)}H", *ids)
 
         self.texts = PretokenEncoder(pattern, pretoken, most)
