@@ -8,16 +8,20 @@ is less than one block from its target.  When a source has run out, the
 others go on with their weights scaled up, from an even state again, so every
 row gets a place.
 
-Weights are whole numbers that add up to a period, after which a schedule
-repeats; so one period for each set of remaining sources tells all places, and
-what the driver holds depends on the sources, not on the rows.
+Shares are taken exactly as they are given, as whole numbers over a common
+denominator, so that no rounding adds up over the slots.  The driver works the
+slots out one after another and holds 8 bytes for each block.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
+from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -27,85 +31,80 @@ from pointweave.llm import common
 
 #: Rows of a block.
 BLOCK_ROWS = 64
-#: Slots in a period, at least; sources get shares of whole slots.
-RESOLUTION = 1000
-#: Sources that a mixture may have; what the driver holds grows with their number alone.
+#: Sources that a mixture may have; the driver's work grows with the square of their number.
 MOST_SOURCES = 5_000
 #: Rows that one task orders, more or less, when a source's rows are ranked.
 RANKED_ROWS = 20_000
 
 
-def period(weights: dict[str, int]) -> list[str]:
-    """The sources that run in each slot of a period, whose length is the weights' sum."""
-    total = sum(weights.values())
-    names = sorted(weights)
-    ready: list[tuple[int, int, int]] = []  # deadline, source, block
-    waiting = [(0, i, 0) for i in range(len(names))]  # release, source, block
-    out = []
-    for slot in range(total):
+def turns(weights: list[int]) -> Iterator[int]:
+    """The source that runs in each slot, without end; ``weights`` are at least 1."""
+    total = sum(weights)
+    ready = [(-(-total // w), i, 0) for i, w in enumerate(weights)]  # deadline, source, block
+    heapq.heapify(ready)
+    waiting: list[tuple[int, int, int]] = []  # release, source, block
+    for slot in itertools.count():
         while waiting and waiting[0][0] <= slot:
             _, i, k = heapq.heappop(waiting)
-            w = weights[names[i]]
-            heapq.heappush(ready, (-(-(k + 1) * total // w), i, k))
+            heapq.heappush(ready, (-(-(k + 1) * total // weights[i]), i, k))
         _, i, k = heapq.heappop(ready)
-        out.append(names[i])
-        if k + 1 < weights[names[i]]:
-            heapq.heappush(waiting, ((k + 1) * total // weights[names[i]], i, k + 1))
-    return out
+        yield i
+        heapq.heappush(waiting, ((k + 1) * total // weights[i], i, k + 1))
+
+
+def period(weights: dict[str, int]) -> list[str]:
+    """The sources that run in each slot of a period, whose length is the weights' sum."""
+    names = sorted(weights)
+    return [names[i] for i in itertools.islice(turns([weights[s] for s in names]), sum(weights.values()))]
 
 
 @dataclass
 class Schedule:
-    """For each source the phases: first block, first slot, length of the period, its slots in the period."""
+    """For each source the slots of its blocks."""
 
-    phases: dict[str, list[tuple[int, int, int, np.ndarray]]]
+    places: dict[str, np.ndarray]
 
     def slots(self, source: str, blocks: np.ndarray) -> np.ndarray:
-        own = self.phases[source]
-        which = np.searchsorted(np.array([p[0] for p in own]), blocks, side="right") - 1
-        out = np.zeros(len(blocks), np.int64)
-        for n in np.unique(which):
-            first, slot, length, places = own[n]
-            m = which == n
-            k = blocks[m] - first
-            out[m] = slot + k // len(places) * length + places[k % len(places)]
-        return out
-
-
-def schedule(blocks: dict[str, int], weights: dict[str, int]) -> Schedule:
-    """Places for ``blocks[s]`` blocks of each source with weights ``weights[s]`` of at least 1."""
-    left = {s: n for s, n in blocks.items() if n > 0}
-    done = dict.fromkeys(left, 0)
-    out: dict[str, list[tuple[int, int, int, np.ndarray]]] = {s: [] for s in blocks}
+        return self.places[source][blocks]
+
+
+def schedule(blocks: dict[str, int], weights: dict[str, float]) -> Schedule:
+    """Places for ``blocks[s]`` blocks of each source with shares in proportion to ``weights[s]``.
+
+    Sources of weight 0 come after all others, in equal shares.
+    """
+    whole = whole_weights(weights)
+    left = {s: blocks[s] for s in sorted(blocks) if blocks[s] > 0}
+    places = {s: array("q") for s in blocks}
     start = 0
     while left:
-        g = math.gcd(*(weights[s] for s in left))
-        own = {s: weights[s] // g for s in left}
-        order = period(own)
-        places: dict[str, list[int]] = {s: [] for s in left}
-        for slot, s in enumerate(order):
-            places[s].append(slot)
-        arrays = {s: np.array(p, np.int64) for s, p in places.items()}
-        # the phase ends after the slot in which the first source runs out
-        ends = {s: (n - 1) // own[s] * len(order) + places[s][(n - 1) % own[s]] + 1 for s, n in left.items()}
-        length = min(ends.values())
-        rounds, rest = divmod(length, len(order))
-        for s in list(left):
-            out[s].append((done[s], start, len(order), arrays[s]))
-            ran = rounds * own[s] + int(np.searchsorted(arrays[s], rest))
-            done[s] += ran
-            left[s] -= ran
-            if not left[s]:
+        names = [s for s in left if whole[s]] or list(left)
+        if len(names) == 1:
+            s = names[0]
+            n = left.pop(s)
+            places[s].frombytes(np.arange(start, start + n, dtype=np.int64).tobytes())
+            start += n
+            continue
+        own = [whole[s] or 1 for s in names]
+        g = math.gcd(*own)
+        for i in turns([w // g for w in own]):
+            s = names[i]
+            places[s].append(start)
+            start += 1
+            left[s] -= 1
+            if not left[s]:  # the phase ends after the slot in which the first source runs out
                 del left[s]
-        start += length
-    return Schedule(out)
+                break
+    return Schedule({s: np.frombuffer(x, np.int64) if x else np.zeros(0, np.int64) for s, x in places.items()})
 
 
-def whole_weights(shares: dict[str, float], resolution: int = RESOLUTION) -> dict[str, int]:
-    """Shares as whole numbers of at least 1, the finer the more sources there are."""
-    total = sum(shares.values())
-    scale = max(resolution, 10 * len(shares))
-    return {s: max(1, round(scale * x / total)) for s, x in shares.items()}
+def whole_weights(shares: dict[str, float]) -> dict[str, int]:
+    """Shares as whole numbers in exactly the same proportions."""
+    if not all(0 <= x < math.inf for x in shares.values()):
+        raise ValueError("shares must be finite numbers of at least 0")
+    exact = {s: Fraction(x) for s, x in shares.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    return {s: int(x * scale) for s, x in exact.items()}
 
 
 def ranked(rows: DataFrame, group: str, order: list[str], n_rows: int, name: str = "rank") -> DataFrame:
@@ -127,7 +126,7 @@ def mixed(df: DataFrame, shares: dict[str | None, float] | None = None, temperat
 
     ``shares`` are target weights by source; without them, or for sources that
     they don't name, a source's share is its rows to the power
-    ``temperature``.  Rows of equal position don't arise; positions of the
+    ``temperature``.  A share of 0 puts a source after all others.  Rows of equal position don't arise; positions of the
     last, shorter block of a source leave a gap.  A null source is a source of
     its own; null and empty texts and null or repeated ids are placed like
     others, equal rows in any order among themselves; an empty table stays
@@ -139,9 +138,8 @@ def mixed(df: DataFrame, shares: dict[str | None, float] | None = None, temperat
         raise ValueError(f"more than {MOST_SOURCES} sources; group them into fewer")
     named = {("-" if s is None else f"+{s}"): x for s, x in (shares or {}).items()}
     free = {s: n**temperature for s, n in counts.items() if s not in named}
-    whole = whole_weights({s: named.get(s, free.get(s, 0.0)) for s in counts}) if counts else {}
-    plan = schedule({s: -(-n // block_rows) for s, n in counts.items()}, whole)
-    shared = df.sparkSession.sparkContext.broadcast(plan)  # its size is bounded by MOST_SOURCES
+    plan = schedule({s: -(-n // block_rows) for s, n in counts.items()}, {s: named.get(s, free.get(s, 0.0)) for s in counts})
+    shared = df.sparkSession.sparkContext.broadcast(plan)  # 8 bytes for each block
 
     @F.pandas_udf("bigint")
     def slot(source, block):
