@@ -38,8 +38,13 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE ids of every document that is left, in the order of the mixture."""
-    return bpe.encode(docs).drop("decoded")
+    """Byte-level BPE ids of every document that is left, with its place in the mixture, ``mix_position``.
+
+    A file scan need not return rows in the order of the files, so the place
+    is worked out once more from the rows, on which alone it depends.
+    """
+    placed = mixing.mixed(docs).select("doc_id", "text", "mix_position")
+    return bpe.encode(placed, keep=("mix_position",)).drop("decoded")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

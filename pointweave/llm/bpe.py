@@ -118,14 +118,15 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
 
 
-def encode(df: DataFrame, path: str | None = None, pattern: str | None = None, with_ids: bool = True) -> DataFrame:
+def encode(df: DataFrame, path: str | None = None, pattern: str | None = None, with_ids: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Encode and decode ``doc_id, text``; a map without any shuffle.
 
     Returns ``doc_id, ids array<int>, decoded binary, n_tokens, ids_sha256,
-    decoded_sha256``, without the first two payloads if not ``with_ids``.
-    Null and empty texts have no ids and decode to nothing; repeated rows and
-    ids, null ids included, stay as they are, row by row; other columns of
-    the input are ignored; an empty table gives an empty table.
+    decoded_sha256``, without the first two payloads if not ``with_ids``, and
+    the input's columns ``keep``.  Null and empty texts have no ids and decode
+    to nothing; repeated rows and ids, null ids included, stay as they are,
+    row by row; other columns of the input are ignored; an empty table gives
+    an empty table.
     """
     default = default_vocabulary()
     path, pattern = path or default[0], pattern or default[1]
@@ -134,6 +135,7 @@ def encode(df: DataFrame, path: str | None = None, pattern: str | None = None, w
         bpe, strings = encoder(path, pattern), id_strings()
         out: dict[str, list] = {k: [] for k in ("doc_id", "ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256")}
         out["doc_id"] = batch.column("doc_id")
+        out |= {k: batch.column(k) for k in keep}
         for text in batch.column("text").to_pylist():
             ids = bpe.encode(text or "")
             decoded = bpe.decode(ids)
@@ -146,8 +148,9 @@ def encode(df: DataFrame, path: str | None = None, pattern: str | None = None, w
         return out
 
     payload = "ids array<int>, decoded binary, " if with_ids else ""
-    kind = df.schema["doc_id"].dataType.simpleString()
-    return common.map_batches(common.narrow(df, doc_id="doc_id", text="text"), digest, f"doc_id {kind}, {payload}n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    kinds = {k: df.schema[k].dataType.simpleString() for k in ("doc_id", *keep)}
+    kept = "".join(f", {k} {kinds[k]}" for k in keep)
+    return common.map_batches(common.narrow(df, doc_id="doc_id", text="text", **{k: k for k in keep}), digest, f"doc_id {kinds['doc_id']}, {payload}n_tokens bigint, ids_sha256 string, decoded_sha256 string{kept}")
 
 
 @functools.cache
