@@ -33,7 +33,7 @@ def op4_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every document's ids as shards and read them back."""
     path = common.shared_dir(spark, "token-shards")
-    tokens.write(common.table(spark, sf_dir, "documents"), path)
+    tokens.write(common.table(spark, sf_dir, "documents"), path, added=True)
     return tokens.read(spark, path, with_ids=False)
 
 

@@ -10,6 +10,7 @@ loss of executors.  ``read`` decodes shards wherever they lie.
 from __future__ import annotations
 
 import functools
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,9 +32,14 @@ SHARD = "part int, shard int, n_ids bigint, doc_ids array<bigint>, payload binar
 
 
 class LibraryBPE:
-    """The tokenizers library's encoding of a byte-level BPE file, word by word through bounded caches."""
+    """The tokenizers library's encoding of a byte-level BPE file, word by word through bounded caches.
 
-    def __init__(self, path: str, pattern: str, most: int = 600_000):
+    With ``added`` the file's added tokens are found first, as the library
+    does, and what stands between them is encoded by itself; else they are
+    text like any other.
+    """
+
+    def __init__(self, path: str, pattern: str, added: bool = False, most: int = 600_000):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -49,20 +55,31 @@ class LibraryBPE:
             return struct.pack(f"<{len(ids)}H", *ids)
 
         self.texts = PretokenEncoder(pattern, pretoken, most)
+        known = tokenizer.get_added_tokens_decoder() if added else {}
+        self.added = {t.content: struct.pack("<H", i) for i, t in known.items()}
+        if self.added and max(known) >= 1 << 16:
+            raise ValueError("the added tokens do not fit 16-bit ids")
+        if any(t.lstrip or t.rstrip or t.single_word for t in known.values()):
+            raise ValueError("added tokens that take white space in or must be single words are not supported")
+        # of those that begin at one place the longest, as in the library
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.texts.encode(text), "<u2")
+        if not any(t in text for t in self.added):
+            return np.frombuffer(self.texts.encode(text), "<u2")
+        return np.frombuffer(b"".join(self.added.get(x) or self.texts.encode(x) for x in self.cut(text) if x), "<u2")
 
 
 @functools.cache
-def encoder(path: str, pattern: str) -> LibraryBPE:
-    return LibraryBPE(path, pattern)
+def encoder(path: str, pattern: str, added: bool = False) -> LibraryBPE:
+    return LibraryBPE(path, pattern, added)
 
 
-def write(df: DataFrame, path: str, tokenizer: str | None = None, pattern: str | None = None, end: int = 2, partitions: int | None = None) -> None:
+def write(df: DataFrame, path: str, tokenizer: str | None = None, pattern: str | None = None, end: int = 2, partitions: int | None = None, added: bool = False) -> None:
     """Encode ``doc_id, text`` and write shards in ascending order of ``doc_id``.
 
-    Each document's ids are followed by ``end``.  Null and empty texts have
+    With ``added``, the tokenizer's added tokens in a text get their own ids,
+    as the library gives them; else they are text like any other.  Each document's ids are followed by ``end``.  Null and empty texts have
     only that id; a null ``doc_id`` comes first; rows with equal ids stay
     together in the order of their texts; an empty table gives no shards.
     Other columns are ignored.
@@ -76,7 +93,7 @@ def write(df: DataFrame, path: str, tokenizer: str | None = None, pattern: str |
     arrow = common.arrow_schema(df.sparkSession, SHARD)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, part = encoder(tokenizer, pattern), TaskContext.get().partitionId()
+        bpe, part = encoder(tokenizer, pattern, added), TaskContext.get().partitionId()
         tail = np.array([end], "<u2")
         names: list[int | None] = []
         docs: list[np.ndarray] = []
