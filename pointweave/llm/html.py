@@ -1,18 +1,20 @@
-"""Main text of web pages by template deduction with equivalence classes.
-
-Pages of one host are read together.  A page is a sequence of tokens: opening
-and closing tags with the path of containers above them, and whole blocks of
-text.  Tokens that occur equally often on every page of the group form an
-equivalence class; a class is valid if its tokens come in the same order on
-all pages and the class lies within single gaps of the classes around it.
-Valid classes nest into the template.  What stands in the gaps between
-template tags are slots; text blocks that are themselves template tokens of a
-large enough group are boilerplate.  The slots inside the article, and outside
-of menus, adverts, notices and the like, are the main text.
+"""Main text of web pages, with a template of text tokens deduced over each host.
+
+A page is a sequence of tokens: opening and closing tags with the path of
+containers above them, and whole blocks of text.  The text tokens that nearly
+all different pages of a host have, in one order, are the host's template and
+thus boilerplate; they are found over the whole host by sums over hashes, so
+that a few odd pages don't hide them (:func:`host_templates`).  Containers are
+told apart by element names and words of their classes: the blocks of the
+article, outside of menus, adverts, notices and the like, are the main text.
+Tag tokens and the gaps between them choose nothing.  :func:`extract_group`
+does the same for a few pages at hand, with equivalence classes that every
+page has.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -20,7 +22,7 @@ from dataclasses import dataclass, field
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointweave.llm import common
@@ -41,11 +43,11 @@ _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.I)
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
 _WORD = re.compile(r"[a-z]+")
-#: Pages with different main text that a group needs before a text block that all have is boilerplate.
+#: Pages with different main text that a host needs before a text block that all have is boilerplate.
 LEAST_PAGES = 8
-#: Characters of markup that a group holds, more or less, so that a worker's memory is bounded.
-GROUP_CHARS = 1 << 20
-#: Hosts up to which their sizes are broadcast, so that a large host's pages needn't meet for the join.
+#: Tenths of a host's pages that have a token of its template, at least.
+MOST_TENTHS = 9
+#: Rows up to which a table by host is broadcast, so that a large host's pages needn't meet for the join.
 MOST_BROADCAST = 20_000
 
 
@@ -196,14 +198,18 @@ def template(pages: list[list[str]]) -> set[str]:
     return {t for c in kept for t in c.order}
 
 
-def main_blocks(page: Page, boilerplate: set[str]) -> list[str]:
-    """The article's slots; without an article, those of the main part; without one, all that isn't dropped."""
+def free_blocks(page: Page) -> list[tuple[int, str, bool, bool, bool]]:
+    """The article's blocks; without an article, those of the main part; without one, all that aren't dropped."""
     free = [b for b in page.blocks if not b[4]]
     for k in (2, 3):
         if any(b[k] for b in free):
-            free = [b for b in free if b[k]]
-            break
-    return [b[1] for b in free if page.tokens[b[0]] not in boilerplate]
+            return [b for b in free if b[k]]
+    return free
+
+
+def main_blocks(page: Page, boilerplate: set[str]) -> list[str]:
+    """The texts of the page's free blocks that aren't boilerplate."""
+    return [b[1] for b in free_blocks(page) if page.tokens[b[0]] not in boilerplate]
 
 
 def extract_group(htmls: list[str]) -> list[str]:
@@ -224,30 +230,72 @@ def host(url: str = "url"):
     return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1), F.lit("")))
 
 
+def token_hash(token: str) -> int:
+    return int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def host_templates(rows: DataFrame) -> DataFrame:
+    """``host, template``: hashes of the text tokens that most of a host's different pages have, in one order.
+
+    ``rows`` are ``host, html``.  A token belongs to the template if at least
+    ``MOST_TENTHS`` tenths of the pages have it, and if on no more than the
+    remaining tenths it stands before the token that comes before it on the
+    others.  Copies of a page count once, pages without main text not at all.
+    Hosts without a template are left out.
+    """
+    schema = "host string, page bigint, token bigint, place int"
+    arrow = common.arrow_schema(rows.sparkSession, schema)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[str, int, int, int]] = []
+            for name, markup in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
+                page = parse(markup.as_py())
+                hashes = [token_hash(page.tokens[b[0]]) for b in free_blocks(page)]
+                key = token_hash("\n".join(map(str, hashes)))
+                out += [(name, key, h, i) for i, h in enumerate(dict.fromkeys(hashes))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], type=x.type) for i, x in enumerate(arrow)], schema=arrow)
+
+    found = common.stored(rows.select("host", "html").mapInArrow(listed, schema).dropDuplicates(["host", "page", "token"]), "html-tokens")
+    pages = found.where("place = 0").groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    often = found.groupBy("host", "token").agg(F.count("*").alias("n")).join(pages, "host").where(F.col("n") * 10 >= F.col("pages") * MOST_TENTHS).select("host", "token", "pages")
+    often = _small(common.stored(often, "html-often"))
+    own = Window.partitionBy("host", "page").orderBy("place")
+    seen = found.join(often, ["host", "token"]).withColumn("nth", F.row_number().over(own))
+    ranks = _small(seen.groupBy("host", "token").agg(F.avg("nth").alias("rank")))
+    ordered = seen.join(ranks, ["host", "token"])
+    crossed = (F.coalesce(F.lag("rank").over(own) >= F.col("rank"), F.lit(False)) | F.coalesce(F.lead("rank").over(own) <= F.col("rank"), F.lit(False))).cast("int")
+    votes = ordered.withColumn("crossed", crossed).groupBy("host", "token").agg(F.sum("crossed").alias("crossed"), F.first("pages").alias("pages"))
+    return votes.where(F.col("crossed") * 10 <= F.col("pages") * (10 - MOST_TENTHS)).groupBy("host").agg(F.collect_list("token").alias("template"))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, stored, to be broadcast if it has no more than ``MOST_BROADCAST`` rows."""
+    df = common.stored(df, "html-part")
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
 def extract(df: DataFrame) -> DataFrame:
     """Main text of ``page_id, url, html``.
 
     Returns ``page_id, url, text, n_chars``.  Null and empty markup give the
     empty text; pages without a URL form a host of their own; repeated rows
     count once for the template and are all returned; other columns are
-    ignored; an empty table stays empty.  A host's pages are dealt out by a
-    hash into groups of about ``GROUP_CHARS`` characters, so that no host,
-    however large, meets in one task.
+    ignored; an empty table stays empty.  A host's template comes from all of
+    its pages by sums over the tokens' hashes, and each page is read by
+    itself against it, so that no host, however large, meets in one task.
     """
     rows = common.narrow(df, page_id="page_id", url="url", html="html").withColumn("html", common.text_or_empty("html")).withColumn("host", host())
-    sizes = rows.groupBy("host").agg(F.ceil(F.sum(F.length("html") + 100) / GROUP_CHARS).alias("groups"))
-    sizes = common.stored(sizes, "html-hosts")
-    if sizes.count() <= MOST_BROADCAST:
-        sizes = F.broadcast(sizes)
-    dealt = rows.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.greatest("groups", F.lit(1))))
-    spark = df.sparkSession
+    known = rows.join(_small(host_templates(rows)), "host", "left")
     kinds = {k: df.schema[k].dataType.simpleString() for k in ("page_id", "url")}
-    schema = f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint"
-    arrow = common.arrow_schema(spark, schema)
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("page_id", "ascending"), ("url", "ascending")])
-        texts = extract_group(group.column("html").to_pylist())
-        return pa.table([group.column("page_id"), group.column("url"), texts, [len(t) for t in texts]], schema=arrow)
+    def texts(batch: pa.RecordBatch) -> dict[str, list]:
+        out: dict[str, list] = {"page_id": batch.column("page_id"), "url": batch.column("url"), "text": [], "n_chars": []}
+        for markup, marked in zip(batch.column("text"), batch.column("template"), strict=True):
+            page, template = parse(markup.as_py()), set(marked.as_py() or ())
+            boilerplate = {t for t in page.tokens if "|" in t and token_hash(t) in template} if template else set()
+            out["text"].append("\n\n".join(main_blocks(page, boilerplate)))
+            out["n_chars"].append(len(out["text"][-1]))
+        return out
 
-    return dealt.select("host", "part", "page_id", "url", "html").groupBy("host", "part").applyInArrow(run, schema)
+    return common.map_batches(common.narrow(known, page_id="page_id", url="url", text="html", template="template"), texts, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint")
