@@ -119,13 +119,3 @@ def test_pages(spark):
         assert by[i]["text"] == f"Title {i} & more\n\nFirst{i} bold text goes on\n\nSecond {i}" and by[i]["n_chars"] == len(by[i]["text"])
     assert (by[100]["text"], by[101]["text"], by[102]["text"], by[103]["text"]) == ("", "", "Cut", "plain text")
     assert html.extract(df.where("false")).count() == 0
-
-
-def test_template_drops_what_all_pages_say():
-    pages = [f"<article><h1>Title {i}</h1><p>Read more on our site</p><p>Body number {i}</p></article>" for i in range(10)]
-    assert html.extract_group(pages)[3] == "Title 3\n\nBody number 3"
-    assert html.extract_group(pages[:3])[0] == "Title 0\n\nRead more on our site\n\nBody number 0"
-    classes = html.equivalence_classes([["a", "b", "x", "b"], ["a", "b", "b", "y"]])
-    assert all(c.valid for c in classes)
-    crossed = html.equivalence_classes([["a", "b"], ["b", "a"]])
-    assert not any(c.valid for c in crossed)
