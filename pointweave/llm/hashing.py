@@ -1,13 +1,13 @@
-"""64-bit hashes of words and shingles of many texts at once, in numpy."""
+"""64-bit hashes of words and shingles, in numpy."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Words whose hashes a worker keeps, and the length up to which it keeps one.
+MOST_KEPT, LONGEST_KEPT = 400_000, 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,19 +32,32 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return out[:n]
 
 
+class _Words(dict):
+    """Hashes of words, filled as they are met; words too long to recur are not kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= LONGEST_KEPT:
+            if len(self) >= MOST_KEPT:
+                self.clear()
+            self[word] = h
+        return h
+
+
+_WORDS = _Words()
+
+
 def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
-    """For each text the hashes of its words, which are runs without ASCII white space."""
-    joined = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    if not len(joined):
-        return [np.zeros(0, np.uint64) for _ in texts]
-    space = _SPACE[joined]
-    edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(joined)))])
-        hashes = mix((sums[ends] - sums[starts]) * powers(_INVERSE, len(joined))[starts] + mix((ends - starts).astype(np.uint64)))
-    bounds = np.cumsum([len(t) + 1 for t in texts])
-    return np.split(hashes, np.searchsorted(starts, bounds[:-1])) if texts else []
+    """For each text the hashes of its words, which are runs without ASCII white space.
+
+    A word's hash is the first 8 bytes of its BLAKE2b digest, so no structure
+    of the words makes different ones collide.
+    """
+    out = []
+    for t in texts:
+        own = t.split()
+        out.append(np.fromiter(map(_WORDS.__getitem__, own), np.uint64, len(own)))
+    return out
 
 
 def shingles(own: np.ndarray, size: int) -> np.ndarray:

@@ -3,9 +3,10 @@
 A document's set are the distinct shingles of its words, A-Z in lower case.
 Documents with equal sets form a class and go on as one.  SuperMinHash gives
 each class a signature; bands are fixed random subsets of its positions.
-Classes that share a band are candidates; the components of the candidate
-graph are compared on full sets, by exact counts of common shingles, in
-blocks of bounded size, and linked where the likeness reaches the threshold.
+Classes that share a band are candidates; they are compared on full sets, by
+exact counts of common shingles, in blocks of bounded size, and linked where
+the likeness reaches the threshold.  A shingle is a 64-bit mix of its words'
+BLAKE2b hashes.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ LENGTH, ROWS = 242, 11
 #: Bands in which a pair just at the threshold agrees on average; the chance of
 #: none is about e to the minus that, a little more as a signature estimates.
 AGREEING = 10
-#: Classes that one block of the comparison holds.
-BLOCK = 512
+#: Shingles that the sets of one block of a comparison have together, more or less; one long set may be more.
+BLOCK_SHINGLES = 1 << 19
 _STEPS = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -104,8 +105,20 @@ class UnionFind:
         return i != j
 
 
-def linked(sets: list[np.ndarray], split: int, percent: int, columns: int = 2048) -> list[tuple[int, int]]:
-    """A spanning forest of the links between sets: all pairs, or with ``split`` those across it.
+def reached(hubs: list[np.ndarray], sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of ``sets`` are linked with one of ``hubs``; sets are sorted."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    out = np.zeros(len(sets), bool)
+    for hub in hubs:
+        met = hub[np.minimum(np.searchsorted(hub, flat), len(hub) - 1)] == flat
+        inter = np.add.reduceat(met.astype(np.int64), starts)
+        out |= 100 * inter >= percent * (sizes + len(hub) - inter)
+    return out
+
+
+def linked(sets: list[np.ndarray], label: list[int], split: int, percent: int, columns: int = 2048) -> list[tuple[int, int]]:
+    """Links that join sets of different labels: among all pairs, or with ``split`` those across it; a forest, never all.
 
     Counts of common shingles come from products of 0/1 matrices over the
     shingles that two or more sets have, some columns at a time.
@@ -130,9 +143,14 @@ def linked(sets: list[np.ndarray], split: int, percent: int, columns: int = 2048
         common_count += m[left] @ m[right].T
     inter = common_count.astype(np.int64)
     union = sizes[left][:, None] + sizes[right][None] - inter
-    a, b = np.nonzero(100 * inter >= percent * union)
+    labels = np.array(label)
+    found = (100 * inter >= percent * union) & (labels[left][:, None] != labels[right][None])
+    a, b = np.nonzero(found)
     a, b = a + left.start, b + right.start
     groups, out = UnionFind(n), []
+    first: dict[int, int] = {}
+    for i, x in enumerate(label):
+        groups.join(i, first.setdefault(x, i))
     for i, j in zip(a.tolist(), b.tolist(), strict=True):
         if i < j and groups.join(i, j):
             out.append((i, j))
@@ -148,7 +166,8 @@ def components(df: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     words, have the empty set, are linked with nothing and kept.  Rows with
     equal ids count as one document; a row without an id is linked with
     nothing, has no component and is kept.  Ties don't arise: the least id
-    stays.  Other columns are ignored; an empty table stays empty.
+    stays.  Other columns are ignored; an empty table stays empty.  Ids must
+    be whole numbers.  Starts jobs at once.
     """
     rows = common.narrow(df, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
@@ -162,15 +181,8 @@ def components(df: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     known = common.stored(common.map_batches(rows, summary, "doc_id bigint, n_shingles bigint, digest binary, key array<bigint>"), "minhash-documents")
     real = known.where("doc_id is not null and n_shingles > 0")
     classes = common.stored(real.groupBy("digest").agg(F.min("doc_id").alias("id")), "minhash-classes")
-    met = real.join(classes.withColumnRenamed("digest", "own"), (F.col("doc_id") == F.col("id")) & (F.col("digest") == F.col("own"))).select("id", F.explode("key").alias("key"))
-    shared = met.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("most")).where("hub <> most").select("key", "hub")
-    hubs = met.join(shared, "key").groupBy("id").agg(F.collect_set("hub").alias("hubs"))  # at most one for each band
-    # a class goes with its least hub, and so do its other hubs, in place of an edge to each
-    least = hubs.select("id", F.array_min("hubs").alias("a"), "hubs")
-    edges = least.select("a", F.col("id").alias("b")).unionByName(least.select("a", F.explode("hubs").alias("b"))).where("a <> b").distinct()
-    near = graph.components(edges, "minhash-candidates")
-    found = common.stored(verified(rows, near, size, percent), "minhash-links")
-    final = graph.components(found, "minhash-links")
+    links = verified(rows, members(real, classes), size, percent)
+    final = graph.components(links, "minhash-links")
     label = classes.join(final, "id", "left").select("digest", F.coalesce("component", "id").alias("class_id"))
     # rows that share an id share the least label of theirs
     return known.join(label, "digest", "left").select(
@@ -180,66 +192,92 @@ def components(df: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     ).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
-def verified(rows: DataFrame, near: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links ``a, b`` between classes of a candidate component, compared on full sets.
+def members(real: DataFrame, classes: DataFrame) -> DataFrame:
+    """``key, hub, id, n``: the classes that share a band, the least of them, and their sets' sizes.
 
-    A component is cut into blocks of about ``BLOCK`` classes by a hash of the
-    id.  First each block is compared within itself and with the component's
-    least class, its centre: work in proportion to the component, which joins
-    nearly all of a tight group.  Then only classes that the centre doesn't
-    reach are compared with everything else, block by block.  So no component,
-    however large, meets in one task, and classes that are known to belong
-    together are not compared again.  Groups return spanning forests of their
-    links, never all pairs.
+    Bands with the same members (told by their number, least, greatest and an
+    exclusive or of hashes) count once.
     """
-    counts = near.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = near.join(counts, "component").select("id", "component", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    # the same plan at every size: what is placed grows with the input
-    wanted = rows.hint("merge").join(placed, rows["doc_id"] == placed["id"]).select("id", "component", "blocks", "block", "text")
+    met = real.join(classes.withColumnRenamed("digest", "own"), (F.col("doc_id") == F.col("id")) & (F.col("digest") == F.col("own"))).select("id", F.col("n_shingles").alias("n"), F.explode("key").alias("key"))
+    shared = met.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("most"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("who")).where("hub <> most")
+    different = shared.groupBy("hub", "most", "size", "who").agg(F.min("key").alias("key")).select("key", "hub")
+    return common.stored(met.join(different, "key").select("key", "hub", "id", "n"), "minhash-members")
 
-    def sets(batch) -> dict[str, list]:
-        own = _sets(batch.column("text").to_pylist(), size)
-        return {k: batch.column(k) for k in ("id", "component", "blocks", "block")} | {"own": [s.tobytes() for s in own]}
 
-    full = common.stored(common.map_batches(wanted, sets, "id bigint, component bigint, blocks int, block int, own binary"), "minhash-sets")
-    large = F.col("blocks") > 1
-    centres = full.where(large & (F.col("id") == F.col("component"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    within = full.unionByName(centres.where("other <> block").withColumn("block", F.col("other")).drop("other"))
-    one = common.stored(_compared(within.select("component", F.lit(0).alias("kind"), F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"), "id", "own"), percent), "minhash-within")
+def _blocks(total):
+    """Parts for sets of ``total`` shingles together."""
+    return F.ceil(total / BLOCK_SHINGLES).cast("int")
+
 
-    label = graph.components(one, "minhash-within")
-    several = full.where(large).join(label.withColumnRenamed("component", "label"), "id", "left").withColumn("reached", (F.col("id") == F.col("component")) | F.coalesce(F.col("label") == F.col("component"), F.lit(False)))
-    apart = several.where("not reached")
-    numbers = apart.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    apart = apart.join(numbers, "component").withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int"))
-    reached = several.where("reached").join(numbers, "component")
+def _part(parts: str):
+    return F.pmod(F.xxhash64("id"), F.col(parts)).cast("int")
 
-    def meets(df: DataFrame, kind: int, i, j, side: int) -> DataFrame:
-        return df.select("component", F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"), "id", "own")
 
-    def up_to(n):
-        return F.explode(F.sequence(F.lit(0), n - 1))
+def verified(rows: DataFrame, met: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links ``a, b`` between classes that share a band, compared on full sets.
 
-    # kind 1: a part against a block of what the centre reaches; kind 2: parts against each other, i <= j
-    two = meets(apart.withColumn("o", up_to(F.col("blocks"))), 1, F.col("part"), F.col("o"), 0)
-    two = two.unionByName(meets(reached.withColumn("o", up_to(F.col("parts"))), 1, F.col("o"), F.col("block"), 1))
-    pair = apart.withColumn("o", up_to(F.col("parts")))
-    two = two.unionByName(meets(pair.where("part <= o"), 2, F.col("part"), F.col("o"), 0)).unionByName(meets(pair.where("part > o"), 2, F.col("o"), F.col("part"), 1))
-    return one.unionByName(_compared(two, percent))
+    First each class is compared with the hubs of its bands, star by star,
+    which joins nearly all of a tight group and is work in proportion to the
+    bands.  Only bands whose classes are still apart are compared further, all
+    classes of different labels; of such bands that hang together either each
+    by itself or all as one group, whichever is fewer pairs.  Stars and groups
+    are cut into blocks of at most about ``BLOCK_SHINGLES`` shingles, so none,
+    however large, meets in one task.  Blocks return forests of links, never
+    all pairs.  What is left of the square is the number of pairs of unlike
+    classes that share a band.
+    """
+    pairs = met.where("hub <> id").select("hub", "id", "n").distinct()
+    wanted = met.select("id").distinct()
+
+    def sets(batch) -> dict[str, list]:
+        own = _sets(batch.column("text").to_pylist(), size)
+        return {"id": batch.column("id"), "own": [s.tobytes() for s in own]}
 
+    # the same plan at every size: what is compared grows with the input
+    texts = rows.hint("merge").join(wanted, rows["doc_id"] == wanted["id"]).select("id", "text")
+    full = common.stored(common.map_batches(texts, sets, "id bigint, own binary").dropDuplicates(["id", "own"]).where(F.length("own") > 0), "minhash-sets")
 
-def _compared(dealt: DataFrame, percent: int) -> DataFrame:
-    """Links within each group ``component, kind, i, j``: between its sides if it has two, else among all."""
-    schema = common.arrow_schema(dealt.sparkSession, "a bigint, b bigint")
+    blocks = pairs.groupBy("hub").agg(_blocks(F.sum("n")).alias("blocks"))
+    dealt = pairs.join(blocks, "hub").withColumn("block", _part("blocks")).select("hub", "block", "id")
+    rim = dealt.join(full, "id").select("hub", "block", F.lit(1).alias("side"), "id", "own")
+    middle = dealt.select("hub", "block").distinct().join(full.withColumnRenamed("id", "hub"), "hub").select("hub", "block", F.lit(0).alias("side"), F.col("hub").alias("id"), "own")
+    schema = common.arrow_schema(rows.sparkSession, "a bigint, b bigint")
+
+    def star(group: pa.Table) -> pa.Table:
+        side = np.asarray(group.column("side"))
+        own = [np.frombuffer(x, np.uint64) for x in group.column("own").to_pylist()]
+        around = np.flatnonzero(side == 1)
+        if not len(around) or len(around) == len(side):
+            return schema.empty_table()
+        hit = around[reached([own[i] for i in np.flatnonzero(side == 0)], [own[i] for i in around], percent)]
+        return pa.table([np.asarray(group.column("hub"))[hit], np.asarray(group.column("id"))[hit]], schema=schema)
+
+    one = common.stored(rim.unionByName(middle).groupBy("hub", "block").applyInArrow(star, "a bigint, b bigint"), "minhash-stars")
+
+    label = graph.components(one, "minhash-stars")
+    told = met.join(label, "id", "left").select("key", "hub", "id", "n", F.coalesce("component", "id").alias("label"))
+    open_bands = told.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").cast("double").alias("size")).where("l <> m").select("key", "size")
+    apart = common.stored(told.join(open_bands, "key"), "minhash-apart")
+    if apart.limit(1).count() == 0:
+        return one
+    whole = graph.components(apart.where("hub <> id").select(F.col("hub").alias("a"), F.col("id").alias("b")), "minhash-apart")
+    placed = apart.join(whole, "id")
+    pairs_of_bands = placed.where("hub = id").groupBy("component").agg(F.sum(F.col("size") * F.col("size")).alias("by_band"))
+    pairs_of_group = whole.groupBy("component").agg((F.count("*").cast("double") * F.count("*")).alias("at_once"))
+    as_one = pairs_of_group.join(pairs_of_bands, "component").select("component", (F.col("at_once") < F.col("by_band")).alias("as_one"))
+    grouped = placed.join(as_one, "component").select(F.col("as_one").cast("int").alias("kind"), F.when(F.col("as_one"), F.col("component")).otherwise(F.col("key")).alias("grp"), "id", "n", "label").distinct()
+    parts = grouped.groupBy("kind", "grp").agg(_blocks(F.sum("n")).alias("parts"))
+    cut = grouped.join(parts, ["kind", "grp"]).withColumn("part", _part("parts")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    two = cut.select("kind", "grp", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), (F.col("part") > F.col("o")).cast("int").alias("side"), "id", "label").join(full, "id")
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.sort_by([("side", "ascending"), ("id", "ascending")])
         ids, split = group.column("id").to_pylist(), group.column("side").to_pylist().count(0)
-        one_block = group.column("i")[0] == group.column("j")[0] and group.column("kind")[0].as_py() != 1
+        one_block = group.column("i")[0] == group.column("j")[0]
         if len(ids) < 2 or (not one_block and split in (0, len(ids))):
             return schema.empty_table()
         own = [np.frombuffer(x, np.uint64) for x in group.column("own").to_pylist()]
-        pairs = linked(own, 0 if one_block else split, percent)
-        return pa.table([[ids[x] for x, _ in pairs], [ids[y] for _, y in pairs]], schema=schema)
+        found = linked(own, group.column("label").to_pylist(), 0 if one_block else split, percent)
+        return pa.table([[ids[x] for x, _ in found], [ids[y] for _, y in found]], schema=schema)
 
-    return dealt.groupBy("component", "kind", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+    return one.unionByName(common.stored(two.groupBy("kind", "grp", "i", "j").applyInArrow(compare, "a bigint, b bigint"), "minhash-links"))

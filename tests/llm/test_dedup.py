@@ -99,9 +99,9 @@ def test_near_duplicates(spark):
     assert minhash.components(rows.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("block", [7, 512])
+@pytest.mark.parametrize("block", [900, 1 << 19])
 def test_near_duplicates_in_a_large_group(spark, monkeypatch, block):
-    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", block)
     base = words(150, 11).split()
     r = np.random.default_rng(3)
     docs = {}
@@ -126,7 +126,8 @@ def test_signatures_estimate_likeness():
     assert (np.sort(np.floor(minhash.super_min_hash(ids[:1]))) == np.arange(minhash.LENGTH)).all()  # ranks are a permutation
 
 
-def test_word_hashes_and_shingles():
+def test_word_hashes_and_shingles(monkeypatch):
+    monkeypatch.setattr(hashing, "MOST_KEPT", 2)
     a, b = hashing.word_hashes([b"the cat  sat", b"\n cat sat on\tthe mat "])
     assert len(a) == 3 and len(b) == 5 and a[1] == b[0] and a[2] == b[1] and a[0] == b[3]
     assert len(hashing.shingles(a, 5)) == 1 and len(hashing.shingles(b, 3)) == 3 and not len(hashing.word_hashes([b""])[0])
@@ -136,3 +137,43 @@ def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 50), (7, 7), (200, 100)], "a bigint, b bigint")
     got = {r["id"]: r["component"] for r in collected(graph.components(edges))}
     assert got == {i: 1 for i in range(1, 41)} | {50: 50, 100: 50, 200: 50}
+
+
+def thue_morse(n):
+    s = b"a"
+    while len(s) < n:
+        s += s.translate(bytes.maketrans(b"ab", b"ba"))
+    return s[:n].decode()
+
+
+def test_structured_words_stay_apart(spark):
+    t = thue_morse(4096)
+    docs = {1: t, 2: t.translate(str.maketrans("ab", "ba")), 3: t + "\n", 4: "a " * 2000, 5: "a " * 1999 + "b"}
+    rows = spark.createDataFrame([(i, x, None, None, None) for i, x in docs.items()], SCHEMA)
+    want, _ = brute_components(docs, 3, 85)
+    assert {x["doc_id"]: x["component_id"] for x in collected(minhash.components(rows, 3, 85))} == want
+
+
+def test_chains_and_unlike_classes_in_shared_bands(spark, monkeypatch):
+    """A chain whose ends are unlike, and texts with a common part that are near each other but below the threshold."""
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 3000)
+    line = words(500, 31).split()
+    docs = {i: " ".join(line[3 * i : 3 * i + 200]) for i in range(60)}
+    common_part = words(160, 32)
+    docs |= {100 + i: common_part + " " + words(35, 700 + i // 2) + f" x{i}" for i in range(60)}
+    rows = spark.createDataFrame([(i, x, None, None, None) for i, x in docs.items()], SCHEMA)
+    want, _ = brute_components(docs, 3, 85)
+    assert len(set(want.values())) == 31
+    assert {x["doc_id"]: x["component_id"] for x in collected(minhash.components(rows, 3, 85))} == want
+
+
+def test_recall_at_the_threshold():
+    """Pairs of likeness 0.85 to 0.87 share a band; 1,000 planted pairs."""
+    r = np.random.default_rng(7)
+    met = 0
+    for _ in range(1000):
+        ids = hashing.mix(r.integers(0, 1 << 62, 230).astype(np.uint64))
+        cut = int(r.integers(14, 17))
+        a, b = ids[:-cut], ids[cut:]
+        met += bool((minhash.band_keys(minhash.super_min_hash(a), 60) == minhash.band_keys(minhash.super_min_hash(b), 60)).any())
+    assert met >= 998
