@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from pointweave.llm import common
 
 
+def thinned(edges: DataFrame) -> DataFrame:
+    """Fewer edges ``a, b`` with the same components, where each b has few a's of the many that it shares with others.
+
+    b goes with its least a, and so do its other a's, in place of an edge to
+    each: as many edges as b's and different pairs of a's.  An a that is
+    common to many b's makes no group here; a b's own a's do.
+    """
+    own = edges.groupBy("b").agg(F.min("a").alias("a"), F.collect_set("a").alias("others"))
+    return own.select("a", "b").unionByName(own.select("a", F.explode("others").alias("b"))).where("a <> b").distinct()
+
+
 def components(edges: DataFrame, what: str = "components") -> DataFrame:
     """``id, component`` for each id in ``a, b`` (long): the least id that it reaches.
 

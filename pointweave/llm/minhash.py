@@ -235,7 +235,7 @@ def verified(rows: DataFrame, met: DataFrame, size: int, percent: int) -> DataFr
 
     # the same plan at every size: what is compared grows with the input
     texts = rows.hint("merge").join(wanted, rows["doc_id"] == wanted["id"]).select("id", "text")
-    full = common.stored(common.map_batches(texts, sets, "id bigint, own binary").dropDuplicates(["id", "own"]).where(F.length("own") > 0), "minhash-sets")
+    full = common.stored(common.map_batches(texts, sets, "id bigint, own binary").where(F.length("own") > 0), "minhash-sets")
 
     blocks = pairs.groupBy("hub").agg(_blocks(F.sum("n")).alias("blocks"))
     dealt = pairs.join(blocks, "hub").withColumn("block", _part("blocks")).select("hub", "block", "id")
@@ -252,7 +252,8 @@ def verified(rows: DataFrame, met: DataFrame, size: int, percent: int) -> DataFr
         hit = around[reached([own[i] for i in np.flatnonzero(side == 0)], [own[i] for i in around], percent)]
         return pa.table([np.asarray(group.column("hub"))[hit], np.asarray(group.column("id"))[hit]], schema=schema)
 
-    one = common.stored(rim.unionByName(middle).groupBy("hub", "block").applyInArrow(star, "a bigint, b bigint"), "minhash-stars")
+    # a class has at most one hub for each band
+    one = common.stored(graph.thinned(rim.unionByName(middle).groupBy("hub", "block").applyInArrow(star, "a bigint, b bigint")), "minhash-stars")
 
     label = graph.components(one, "minhash-stars")
     told = met.join(label, "id", "left").select("key", "hub", "id", "n", F.coalesce("component", "id").alias("label"))
@@ -260,12 +261,13 @@ def verified(rows: DataFrame, met: DataFrame, size: int, percent: int) -> DataFr
     apart = common.stored(told.join(open_bands, "key"), "minhash-apart")
     if apart.limit(1).count() == 0:
         return one
-    whole = graph.components(apart.where("hub <> id").select(F.col("hub").alias("a"), F.col("id").alias("b")), "minhash-apart")
-    placed = apart.join(whole, "id")
-    pairs_of_bands = placed.where("hub = id").groupBy("component").agg(F.sum(F.col("size") * F.col("size")).alias("by_band"))
+    whole = graph.components(graph.thinned(apart.where("hub <> id").select(F.col("hub").alias("a"), F.col("id").alias("b"))), "minhash-apart")
+    pairs_of_bands = apart.where("hub = id").select("id", (F.col("size") * F.col("size")).alias("pairs")).join(whole, "id").groupBy("component").agg(F.sum("pairs").alias("by_band"))
     pairs_of_group = whole.groupBy("component").agg((F.count("*").cast("double") * F.count("*")).alias("at_once"))
     as_one = pairs_of_group.join(pairs_of_bands, "component").select("component", (F.col("at_once") < F.col("by_band")).alias("as_one"))
-    grouped = placed.join(as_one, "component").select(F.col("as_one").cast("int").alias("kind"), F.when(F.col("as_one"), F.col("component")).otherwise(F.col("key")).alias("grp"), "id", "n", "label").distinct()
+    groups = common.stored(whole.join(as_one, "component"), "minhash-groups")
+    placed = apart.select("id", "n", "label", "key").join(groups, "id")
+    grouped = placed.select(F.col("as_one").cast("int").alias("kind"), F.when(F.col("as_one"), F.col("component")).otherwise(F.col("key")).alias("grp"), "id", "n", "label").distinct()
     parts = grouped.groupBy("kind", "grp").agg(_blocks(F.sum("n")).alias("parts"))
     cut = grouped.join(parts, ["kind", "grp"]).withColumn("part", _part("parts")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     two = cut.select("kind", "grp", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), (F.col("part") > F.col("o")).cast("int").alias("side"), "id", "label").join(full, "id")
