@@ -3,11 +3,13 @@
 Every string of ``LENGTH`` bytes belongs to one anchor, the leftmost of the
 seeds (``SEED`` bytes) in it whose hash is least; equal strings have equal
 anchors at equal offsets.  So it is enough to compare the surroundings of equal
-anchors, and anchors are few, about one in 40 bytes.  Anchors whose strings
-all agree are settled by hashes.  Where surroundings differ, the contexts to
-the right and (reversed) to the left are put in suffix order by deep-shallow
-sorting; with the lengths of common prefixes, every string of an anchor is told
-by two ranks, and all but the first in each class are repeats.
+anchors, and anchors are few, about one in 40 bytes.  What an anchor depends on
+is the string alone, not the texts beside it.  An anchor whose strings all
+agree with an earlier one's is settled by a 128-bit BLAKE2b digest of the bytes
+they cover.  Where surroundings differ, the contexts to the right and
+(reversed) to the left are put in suffix order by deep-shallow sorting; with
+the lengths of common prefixes, every string of an anchor is told by two ranks,
+and all but the first in each class are repeats: there bytes decide, not hashes.
 """
 
 from __future__ import annotations
@@ -29,9 +31,11 @@ LENGTH, SEED = 100, 16
 SEEDS = LENGTH - SEED + 1
 #: Bytes of text that are hashed at a time, and anchors that are compared before they leave a task.
 BATCH_BYTES, BATCH_ANCHORS = 1 << 21, 400_000
+#: Bits for a place in the bytes that are hashed at a time; the seeds' hashes have the rest.
+POSITION_BITS = 23
 _B = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_B), -1, 1 << 64))
-ANCHOR = "h bigint, c bigint, doc bigint, tag bigint, at int, ends int"
+ANCHOR = "h bigint, c bigint, d bigint, doc bigint, tag bigint, at int, ends int"
 
 
 @functools.lru_cache(2)
@@ -48,19 +52,33 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(values) - width + 1], out[width - have :]) if have < width else out
 
 
+def _digests(data: bytes, low: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """128-bit BLAKE2b digests of pieces of ``data``, as two numbers each."""
+    view = memoryview(data)
+    found = [hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(low.tolist(), stop.tolist(), strict=True)]
+    return np.frombuffer(b"".join(found), np.uint64).reshape(-1, 2)
+
+
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of all texts: number of text, place, hash of the seed, first and last start of its strings, hash of what they cover."""
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.int64, np.int64, np.uint64))
+    """Of all texts: number of text, place, hash of the seed, first and last start of its strings, digest of what they cover.
+
+    A string's anchor depends on the string alone, whatever lies beside it.
+    The texts together are at most ``2**POSITION_BITS`` bytes.
+    """
+    none = (*(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.int64, np.int64)), np.zeros((0, 2), np.uint64))
     sizes = np.array([len(t) for t in texts], np.int64)
-    data = np.frombuffer(b"".join(texts), np.uint8)
+    joined = b"".join(texts)
+    data = np.frombuffer(joined, np.uint8)
     n = len(data)
     if n < LENGTH:
         return none
+    if n > 1 << POSITION_BITS:
+        raise ValueError("too many bytes at a time")
     up, down = _powers(1 << (n + 1).bit_length())
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n])])
         seeds = hashing.mix((sums[SEED:] - sums[:-SEED]) * down[: n - SEED + 1])
-    bits = np.uint64(n.bit_length())
+    bits = np.uint64(POSITION_BITS)
     packed = (seeds >> bits << bits) | np.arange(len(seeds), dtype=np.uint64)  # the leftmost of equal ones is least
     best = (_least(packed, SEEDS) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     ends = np.cumsum(sizes)
@@ -69,16 +87,23 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     if not len(starts):
         return none
     at = best[starts]
-    new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (owner[starts][1:] != owner[starts][:-1])]))
     low, place = starts[new], at[new]
     high = starts[np.concatenate([new[1:], [len(starts)]]) - 1]
-    with np.errstate(over="ignore"):
-        cover = hashing.mix((sums[high + LENGTH] - sums[low]) * down[low] + hashing.mix((place - low).astype(np.uint64) * np.uint64(512) + (high - low).astype(np.uint64)))
+    cover = _digests(joined, low, high + LENGTH)
+    cover = cover ^ hashing.mix((place - low).astype(np.uint64) * np.uint64(512) + (high - low).astype(np.uint64))[:, None]
     text = owner[low]
     base = (ends - sizes)[text]
     return text, place - base, seeds[place], low - base, high - base, cover
 
 
+def pieces(text: bytes) -> Iterator[tuple[int, bytes]]:
+    """A long text in pieces, with their places, so that each string lies in exactly one as a start."""
+    yield 0, text[: BATCH_BYTES + LENGTH - 1]
+    for at in range(BATCH_BYTES, len(text) - LENGTH + 1, BATCH_BYTES):
+        yield at, text[at : at + BATCH_BYTES + LENGTH - 1]
+
+
 def _packed_ends(place: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """How far before the anchor its first and last string start, in one number."""
     return ((place - low) * 256 + (place - high)).astype(np.int32)
@@ -94,39 +119,41 @@ def find_anchors(rows: DataFrame) -> DataFrame:
     arrow = common.arrow_schema(rows.sparkSession, ANCHOR)
 
     def leave(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        doc, tag, at, h, ends, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((at, tag, doc, c, h))
+        doc, tag, at, h, ends, cover = (np.concatenate(x) for x in zip(*parts, strict=True))
+        c, d = cover.T
+        order = np.lexsort((at, tag, doc, d, c, h))
         again = np.zeros(len(order), bool)
-        again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (c[order[1:]] == c[order[:-1]])
+        again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (cover[order[1:]] == cover[order[:-1]]).all(axis=1)
         h = np.where(again, hashing.mix(np.arange(len(h))), h)  # repeats are dealt out evenly
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64), mask=again), pa.array(doc), pa.array(tag), pa.array(at.astype(np.int32)), pa.array(ends)], schema=arrow)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.ascontiguousarray(c).view(np.int64), mask=again), pa.array(np.ascontiguousarray(d).view(np.int64), mask=again), pa.array(doc), pa.array(tag), pa.array(at.astype(np.int32)), pa.array(ends)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, ...]] = []
         held = 0
 
-        def add(docs: list[int], tags: list[int], texts: list[bytes]) -> int:
+        def add(docs: list[int], tags: list[int], shifts: list[int], texts: list[bytes]) -> int:
             text, at, h, low, high, c = anchors(texts)
             if len(text):
-                parts.append((np.array(docs, np.int64)[text], np.array(tags, np.int64)[text], at, h, _packed_ends(at, low, high), c))
+                parts.append((np.array(docs, np.int64)[text], np.array(tags, np.int64)[text], at + np.array(shifts, np.int64)[text], h, _packed_ends(at, low, high), c))
             return len(text)
 
-        docs, tags, texts, size = [], [], [], 0
+        docs, tags, shifts, texts, size = [], [], [], [], 0
         for batch in batches:
             for d, g, t in zip(batch.column("doc").to_pylist(), batch.column("tag").to_pylist(), batch.column("text"), strict=True):
-                t = t.as_buffer()
-                if size and size + t.size > BATCH_BYTES:
-                    held += add(docs, tags, texts)
-                    docs, tags, texts, size = [], [], [], 0
-                    if held >= BATCH_ANCHORS:
-                        yield leave(parts)
-                        parts.clear()
-                        held = 0
-                docs.append(d)
-                tags.append(g)
-                texts.append(t.to_pybytes())
-                size += t.size
-        add(docs, tags, texts)
+                for shift, piece in pieces(t.as_buffer().to_pybytes()):
+                    if size and size + len(piece) > BATCH_BYTES:
+                        held += add(docs, tags, shifts, texts)
+                        docs, tags, shifts, texts, size = [], [], [], [], 0
+                        if held >= BATCH_ANCHORS:
+                            yield leave(parts)
+                            parts.clear()
+                            held = 0
+                    docs.append(d)
+                    tags.append(g)
+                    shifts.append(shift)
+                    texts.append(piece)
+                    size += len(piece)
+        add(docs, tags, shifts, texts)
         if parts:
             yield leave(parts)
 
@@ -142,7 +169,7 @@ def settle(found: DataFrame) -> DataFrame:
     Anchors come together by the seed's hash, sorted, and are read as a stream
     that keeps one row back.
     """
-    dealt = found.repartition("h").sortWithinPartitions("h", F.col("c").asc_nulls_last(), "doc", "tag", "at")
+    dealt = found.repartition("h").sortWithinPartitions("h", F.col("c").asc_nulls_last(), "d", "doc", "tag", "at")
     arrow = common.arrow_schema(found.sparkSession, FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,14 +178,14 @@ def settle(found: DataFrame) -> DataFrame:
         for batch in batches:
             null = np.asarray(batch.column("c").is_null())
             x = {k: np.asarray(batch.column(k)) for k in ("h", "doc", "tag", "at", "ends")}
-            x["c"] = np.asarray(batch.column("c").fill_null(0))
+            x["c"], x["d"] = (np.asarray(batch.column(k).fill_null(0)) for k in ("c", "d"))
             marks = {k: v[null] for k, v in x.items()}
             x = {k: v[~null] for k, v in x.items()}
             n = len(x["h"])
             if n:
                 before_h = np.concatenate([[last[0] if last else 0], x["h"][:-1]])
-                before_c = np.concatenate([[last[1] if last else 0], x["c"][:-1]])
-                same_h, same = x["h"] == before_h, (x["h"] == before_h) & (x["c"] == before_c)
+                before_c, before_d = (np.concatenate([[last[i] if last else 0], x[k][:-1]]) for i, k in ((1, "c"), (2, "d")))
+                same_h, same = x["h"] == before_h, (x["h"] == before_h) & (x["c"] == before_c) & (x["d"] == before_d)
                 if last is None:
                     same_h[0] = same[0] = False
                 firsts = np.flatnonzero(~same)
@@ -172,7 +199,7 @@ def settle(found: DataFrame) -> DataFrame:
                     lead = np.concatenate([[True], lead])
                 if len(firsts):
                     held = {k: v[firsts[-1:]] for k, v in x.items()} if lead[-1] else None
-                last = (int(x["h"][-1]), int(x["c"][-1]))
+                last = tuple(int(x[k][-1]) for k in ("h", "c", "d"))
                 asked = firsts[ask]
                 marks = {k: np.concatenate([marks[k], x[k][same]]) for k in marks}
             else:

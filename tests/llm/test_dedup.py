@@ -62,6 +62,32 @@ def test_repeated_substrings_with_passages_and_periods(spark):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[docs[r["doc_id"]]]
 
 
+def test_anchors_depend_on_the_string_alone(monkeypatch):
+    r = np.random.default_rng(5)
+    text, other = r.integers(97, 100, 300, dtype=np.uint8).tobytes(), r.integers(97, 100, 3_000_000, dtype=np.uint8).tobytes()
+    alone = substrings.anchors([text])
+    beside = substrings.anchors([other, text])
+    own = beside[0] == 1
+    assert all((a == b[own]).all() for a, b in zip(alone[1:], beside[1:], strict=True))
+    monkeypatch.setattr(substrings, "BATCH_BYTES", 1000)
+    found = [substrings.anchors([p]) for _, p in substrings.pieces(other[:5000])]
+    strings = sum(int((high - low + 1).sum()) for _, _, _, low, high, _ in found)
+    assert strings == 5000 - 99 and all(at + len(p) <= 5000 and len(p) < 1100 for at, p in substrings.pieces(other[:5000]))
+    assert list(substrings.pieces(b"")) == [(0, b"")]
+
+
+def test_long_texts_and_common_seeds(spark, monkeypatch):
+    """Long texts cut into pieces, a seed of blanks with many surroundings, and a period."""
+    monkeypatch.setattr(substrings, "BATCH_BYTES", 5000)  # workers import their own; the long text below is cut at the real size
+    long = " ".join(words(10, i % 900) for i in range(60_000))
+    docs = [(0, long), (1, words(30, 5) + long[2_097_100:2_097_400] + words(10, 6)), *((10 + i, words(9, i) + " " * (20 + i % 90) + words(9, 3000 + i)) for i in range(150)), (500, "ab" * 2000)]
+    rows = spark.createDataFrame([(i, t, None, None, None) for i, t in docs], SCHEMA)
+    want = brute_repeats(docs)
+    texts = dict(docs)
+    for r in collected(substrings.repeated(rows.repartition(4)).drop("kept")):
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"], texts[r["doc_id"]]]
+
+
 def brute_components(docs, size, percent):
     """docs: {id: text}; the least id reachable over links."""
     sets = {}
