@@ -2,16 +2,17 @@
 
 The patterns (emails, IP addresses, payment cards, phone numbers) are found
 exactly over whole texts.  A conditional random field over word shapes,
-trained on the small labelled table below, tags the words around digits and
-signs; its spans are added where no pattern's span lies.  Words farther than
-``CONTEXT`` words from such a word are outside of every chain.  Viterbi runs in
-numpy over many chains at once.
+trained on the small labelled table below, tags every token of a text; its
+spans are added where no pattern's span lies and where they can be what they
+are tagged as.  Viterbi runs in numpy over many texts at once.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -65,7 +66,6 @@ def base_spans(text: str) -> list[Span]:
 # ---------------------------------------------------------------- the CRF
 
 LABELS = ("O", "email", "ip", "card", "phone", "secret")
-CONTEXT = 3
 #: The labelled table: tokens in [kind ...] are of that kind, all others of none.
 LABELLED = """
 write to [email anna . lind @ mail . example . com] before noon
@@ -112,9 +112,10 @@ a 5 x 7 print of 1920 x 1080 pixels
 sum of 12345 and 67890 is 80235
 """
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
-_TRIGGER = re.compile(r"[0-9@]\S*|[(\[](?:at|dot)[)\]]")
-#: Characters that a chain reaches to either side at most.
-REACH = 60
+#: Tokens whose shapes a worker keeps.
+MOST_KEPT = 200_000
+#: Characters that what is tagged can have at most, by its kind.
+LONGEST = {"email": 320, "ip": 64, "card": 64, "phone": 64, "secret": 4096}
 #: Words that are features as such.
 CUES = ("token", "key", "secret", "password", "card", "ip", "tel", "phone", "call", "mail", "version", "page", "at", "dot")
 _CUE = {w: i for i, w in enumerate(CUES)}
@@ -170,6 +171,17 @@ class CRF:
     def __init__(self, weights: np.ndarray, moves: np.ndarray, first: np.ndarray):
         self.weights, self.moves, self.first = weights, moves, first
 
+    def local(self, chains: list[np.ndarray]) -> np.ndarray:
+        """Scores of the labels at each position of all chains, one after the other."""
+        pad = np.full(2, N_SHAPES - 1, np.int64)
+        flat = np.concatenate([pad, *(x for c in chains for x in (c, pad))])
+        sizes = np.array([len(c) for c in chains])
+        place = np.arange(sizes.sum()) + 2 * np.repeat(np.arange(len(chains)), sizes)  # less the two in front
+        out = np.zeros((len(place), len(LABELS)))
+        for k in range(5):
+            out += self.weights[flat[place + k] + k * N_SHAPES]
+        return out
+
     def viterbi(self, chains: list[np.ndarray]) -> list[np.ndarray]:
         """The best labels of each chain of shapes; all chains advance together, in order of length."""
         if not chains:
@@ -177,28 +189,27 @@ class CRF:
         order = sorted(range(len(chains)), key=lambda i: -len(chains[i]))
         lengths = np.array([len(chains[i]) for i in order])
         steps, k = int(lengths[0]), len(LABELS)
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(chains)
-        if not steps:
-            return out
-        flat = np.concatenate([self.weights[features(chains[i])].sum(axis=1) for i in order if len(chains[i])])
+        flat = self.local([chains[i] for i in order])
         at = np.cumsum([0, *lengths])[:-1]
-        back = []
-        live = int((lengths > 0).sum())
+        alive = np.searchsorted(-lengths, -np.arange(steps), side="left")  # chains longer than each step
         score = np.zeros((len(chains), k))
-        score[:live] = flat[at[:live]] + self.first
+        if steps:
+            score[: alive[0]] = flat[at[: alive[0]]] + self.first
+        back = []
         for t in range(1, steps):
-            live = int((lengths > t).sum())
-            total = score[:live, :, None] + self.moves[None]
-            back.append(total.argmax(axis=1))
+            live = alive[t]
+            total = score[:live, :, None] + self.moves
+            back.append(total.argmax(axis=1).astype(np.int8))
             score[:live] = total.max(axis=1) + flat[at[:live] + t]
-        best = score.argmax(axis=1)
+        now, paths = score.argmax(axis=1), np.zeros(len(flat), np.int64)
+        for t in range(steps - 1, -1, -1):
+            live = alive[t]
+            paths[at[:live] + t] = now[:live]
+            if t:
+                now[:live] = back[t - 1][np.arange(live), now[:live]]
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(chains)
         for j, i in enumerate(order):
-            path = np.zeros(lengths[j], np.int64)
-            if lengths[j]:
-                path[-1] = best[j]
-                for t in range(lengths[j] - 1, 0, -1):
-                    path[t - 1] = back[t - 1][j, path[t]]
-            out[i] = path
+            out[i] = paths[at[j] : at[j] + lengths[j]]
         return out
 
 
@@ -246,28 +257,31 @@ def default_model() -> CRF:
     return train(parse_labelled())
 
 
-def _chains(text: str) -> list[list[tuple[int, int]]]:
-    """Token places of each chain: the words of interest and ``CONTEXT`` words around, merged where they meet."""
-    out: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        a, b = m.span()
-        least, most = max(a - REACH, 0), b + REACH
-        while a > least and not text[a - 1].isspace():
-            a -= 1
-        for _ in range(CONTEXT):
-            if a > least:
-                a = max(text.rfind(" ", least, a - 1) + 1, least)
-            n = text.find(" ", b + 1, most)
-            b = min(len(text), most) if n < 0 else n
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(b, out[-1][1])
-        else:
-            out.append([a, b])
-    return [[t.span() for t in _TOKEN.finditer(text, a, b)] for a, b in out]
+class _Shapes(dict):
+    """Shapes of tokens, filled as they are met."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= MOST_KEPT:
+            self.clear()
+        x = shape(token)
+        if len(token) <= 64:
+            self[token] = x
+        return x
+
+
+_SHAPES = _Shapes()
+
+
+def chain(text: str) -> np.ndarray:
+    """The shapes of all tokens of a text."""
+    own = _TOKEN.findall(text)
+    return np.fromiter(map(_SHAPES.__getitem__, own), np.int64, len(own))
 
 
 def _plausible(kind: str, s: str) -> bool:
     """Whether a tagged span can be what it is tagged as."""
+    if len(s) > LONGEST[kind]:
+        return False
     digits = sum(c.isdigit() for c in s)
     if kind == "secret":
         return len(s) >= 16 and digits >= 2 and sum(c.isalpha() for c in s) >= 2 and s.isalnum()
@@ -283,28 +297,22 @@ def _plausible(kind: str, s: str) -> bool:
 def find(texts: list[str], model: CRF) -> list[tuple[list[Span], list[Span]]]:
     """For each text the patterns' spans, and all spans with those that the field adds."""
     base = [base_spans(t) for t in texts]
-    places = [(i, c) for i, t in enumerate(texts) for c in _chains(t) if c]
-    paths = model.viterbi([np.array([shape(texts[i][a:b]) for a, b in c]) for i, c in places])
-    extra: list[list[Span]] = [[] for _ in texts]
-    for (i, c), path in zip(places, paths, strict=True):
-        t = 0
-        while t < len(path):
-            u = t
-            while u < len(path) and path[u] == path[t]:
-                u += 1
-            if path[t]:
-                a, b, kind = c[t][0], c[u - 1][1], LABELS[path[t]]
-                if _plausible(kind, texts[i][a:b]):
-                    extra[i].append((a, b, kind))
-            t = u
-    out = []
+    paths = model.viterbi([chain(t) for t in texts])
     rank = {k: n for n, k in enumerate((*KINDS, "secret"))}
-    for own, more in zip(base, extra, strict=True):
-        free = []
-        ends = sorted((a, b) for a, b, _ in own)
-        for a, b, kind in more:
-            if not any(x < b and a < y for x, y in ends):
-                free.append((a, b, kind))
+    out = []
+    for text, own, path in zip(texts, base, paths, strict=True):
+        free: list[Span] = []
+        if path.any():
+            places = [m.span() for m in _TOKEN.finditer(text)]
+            edges = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1], [True]])).tolist()
+            ends = sorted((a, b) for a, b, _ in own)
+            starts, reach = [a for a, _ in ends], list(itertools.accumulate((b for _, b in ends), max))
+            for t, u in itertools.pairwise(edges):
+                if path[t]:
+                    a, b, kind = places[t][0], places[u - 1][1], LABELS[path[t]]
+                    before = bisect.bisect_left(starts, b)  # the patterns' spans that start before its end
+                    if _plausible(kind, text[a:b]) and not (before and reach[before - 1] > a):
+                        free.append((a, b, kind))
         out.append((own, sorted([*own, *free], key=lambda s: (s[0], rank[s[2]]))))
     return out
 

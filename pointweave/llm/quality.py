@@ -140,7 +140,11 @@ def _prune(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> tuple[Rule,
 
 
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.9, least: int = 3, most_rules: int = 12) -> list[Rule]:
-    """Sequential covering: rules for bad rows, in order, until none is precise enough on the pruning part."""
+    """Sequential covering: rules for bad rows, in order, until none is precise enough on the pruning part.
+
+    Rules have at most five conditions and the list at most ``most_rules``
+    rules; both bound the expression that Spark compiles, not the rows.
+    """
     part = np.arange(len(bad)) % 3 == 2  # every third row prunes
     left = np.ones(len(bad), bool)
     rules: list[Rule] = []
@@ -164,9 +168,11 @@ def train(documents: DataFrame, labels: DataFrame, most_rows: int = 5_000) -> li
     """Learn from the statistics of at most ``most_rows`` labelled documents, told by a hash of their ids.
 
     Without labelled documents, or without both labels, there are no rules.
+    An id with several labels takes the least; null ids and labels are left
+    out; rows with equal ids are all taken.  Starts a job at once.
     """
     marked = common.narrow(labels, doc_id="doc_id", quality="quality").where("doc_id is not null and quality is not null")
-    some = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+    some = marked.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     rows = common.narrow(documents, doc_id="doc_id", text="text").join(F.broadcast(some), "doc_id")  # at most most_rows ids
     counts = statistics(rows.select("doc_id", "text")).select("doc_id", *[F.expr(e).cast("double").alias(k) for k, e in FEATURES.items()])
     got = sorted(map(tuple, counts.join(F.broadcast(some), "doc_id").select("doc_id", "quality", *FEATURES).collect()))
@@ -188,7 +194,9 @@ def judge(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """Counts of ``doc_id, text``, the fixed rule's verdict ``base_failed`` and the list's, ``kept``.
 
     A document fails the fixed rule with fewer than 50 words, or more than
-    half of its words in repeated windows; what fails is never kept.
+    half of its words in repeated windows; what fails is never kept.  Null and
+    empty texts fail; repeated rows are judged row by row; an empty table
+    stays empty; other columns are ignored.
     """
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = statistics(df).withColumn("base_failed", failed)

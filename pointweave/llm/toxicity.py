@@ -18,7 +18,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointweave.llm import common
@@ -65,9 +65,13 @@ class Model:
                 cancelled.append((end - n + 1, end))
             else:
                 found.append((end - n + 1, end, weight))
-        last = -1
+        last, reach, k = -1, -1, 0
+        cancelled.sort()
         for a, b, weight in sorted(found):
-            if a > last and not any(x <= a and b <= y for x, y in cancelled):
+            while k < len(cancelled) and cancelled[k][0] <= a:
+                reach = max(reach, cancelled[k][1])  # how far the phrases that have begun go
+                k += 1
+            if a > last and b > reach:
                 total, hits, last = total + weight, hits + 1, a
         words = s.count(" ") - 1 + (len(s) <= 2)
         return [1.0, float(hits > 0), math.log1p(total), math.log1p(1000 * total / (words + 20)), total / math.sqrt(words + 20), math.log(words + 20)]
@@ -110,7 +114,7 @@ def learn_lexicon(folded: list[str], labels: list[int], most_entries: int = 1000
     """Weights of entries that are far more frequent in toxic texts.
 
     An entry counts at most ``per_text`` times in a text, equal texts count
-    once, and of entries where one begins another the more telling one stays.
+    once, the lexicon holds the ``most_entries`` most telling ones, and of entries where one begins another the more telling one stays.
     """
     rows = list(dict(zip(folded, labels, strict=True)).items())
     toxic = [t for t, y in rows if y]
@@ -191,16 +195,22 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(documents: DataFrame, labels: DataFrame, most_rows: int = 5_000) -> Model:
-    """Fit on at most ``most_rows`` labelled documents outside the held-out part.
+def train(documents: DataFrame, labels: DataFrame, most_rows: int = 5_000, most_chars: int = 64_000_000) -> Model:
+    """Fit on at most ``most_rows`` labelled documents of ``most_chars`` characters together, outside the held-out part.
 
-    Which ones, if there are more, is told by a hash of their ids.  The bound
-    keeps what comes to the driver small however large the table is.
+    Which ones, if there are more, is told by a hash of their ids; their texts
+    are whole.  The bounds keep what comes to the driver small however large
+    the table is.  An id with several labels counts as toxic if one says so;
+    null ids, labels and texts are left out; rows with equal ids are all taken.
+    Starts a job at once.
     """
     marked = common.narrow(labels, doc_id="doc_id", toxic="toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
-    some = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+    some = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     texts = common.narrow(documents, doc_id="doc_id", text="text").where(F.col("text").isNotNull())
-    rows = texts.join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic").collect()  # at most most_rows ids
+    found = common.stored(texts.join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic", F.xxhash64("doc_id", "text").alias("h"), F.length("text").alias("n")), "toxicity-labelled")
+    sizes = found.groupBy("h").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, 0)))
+    taken = sizes.where(F.col("upto") <= most_chars).select("h")
+    rows = found.join(taken, "h").select("doc_id", "text", "toxic").collect()
     rows = sorted(rows, key=lambda r: (r.doc_id, r.text))
     return fit([r.text for r in rows], [int(r.toxic > 0) for r in rows])
 

@@ -119,3 +119,44 @@ def test_pages(spark):
         assert by[i]["text"] == f"Title {i} & more\n\nFirst{i} bold text goes on\n\nSecond {i}" and by[i]["n_chars"] == len(by[i]["text"])
     assert (by[100]["text"], by[101]["text"], by[102]["text"], by[103]["text"]) == ("", "", "Cut", "plain text")
     assert html.extract(df.where("false")).count() == 0
+
+
+def test_field_reads_every_token():
+    model = pii.default_model()
+    (_, spans), (_, upper) = pii.find(["no sign near, write to kim ( at ) example ( dot ) org today", "write to kim [AT] example [DOT] org today"], model)
+    assert [k for *_, k in spans] == ["email"] and len(pii.chain("a b, c_d")) == 6
+    text = "the number 212-555-0188 is ours"
+    shapes = [pii.chain(x) for x in (text, "", "one two", text * 3)]
+    assert [p.tolist() for p in model.viterbi(shapes)] == [model.viterbi([c])[0].tolist() for c in shapes]
+
+
+def test_long_texts_stay_linear():
+    model = pii.default_model()
+    for t in ("a (at) b " * 20_000, "call 212-555-0188 or a@b.cd now " * 10_000, "1-" * 100_000, "x" * 300_000):
+        ((own, spans),) = pii.find([t], model)
+        assert len(spans) >= len(own)
+    lexicon = toxicity.Model({" trash ": 1.0, " idiot ": 2.0}, ("trash can",), (0.0, 0, 1, 0, 0, 0))
+    s = toxicity.fold("trash can idiot " * 60_000)
+    assert abs(lexicon.features(s)[2] - np.log1p(120_000)) < 1e-9
+
+
+def test_lexicon_matches_equal_brute_force():
+    r = random.Random(9)
+    weights = {" ab ": 1.0, " abc": 2.5, " ca ": 0.5, " b ": 4.0}
+    model = toxicity.Model(weights, ("ab ca", "x b", "b ab"), (0.0,) * 6)
+    for _ in range(3000):
+        s = toxicity.fold(" ".join(r.choice(["ab", "abca", "abc", "ca", "b", "x", "abd"]) for _ in range(r.randint(0, 12))))
+        off = [(i, i + len(e) + 1) for e in model.exceptions for i in range(len(s)) if s.startswith(f" {e} ", i)]
+        total, last = 0.0, -1
+        for a, b, w in sorted((i, i + len(k) - 1, w) for k, w in weights.items() for i in range(len(s)) if s.startswith(k, i)):
+            if a > last and not any(x <= a and b <= y for x, y in off):
+                total, last = total + w, a
+        assert abs(model.features(s)[2] - np.log1p(total)) < 1e-12
+
+
+def test_training_bounds(spark):
+    rows = _labelled(200)
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t, _ in rows], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows for _ in range(2)] + [(None, 1, 1), (5, 1, None)], "doc_id bigint, quality int, toxic int")
+    assert toxicity.train(docs, labels) == toxicity.train(docs, labels.distinct())
+    assert toxicity.train(docs, labels, most_chars=10).coefficients == (-5.0, 3.0, 1.0, 0.5, 0.0, 0.0)
