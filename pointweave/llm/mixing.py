@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from pointweave.llm import common
 
-#: Rows of a block.
-BLOCK_ROWS = 64
+#: Rows of a block, at least, and blocks up to which it has no more; a block's rows grow with the table beyond.
+BLOCK_ROWS, MOST_BLOCKS = 64, 1 << 24
 #: Sources that a mixture may have; the driver's work grows with the square of their number.
 MOST_SOURCES = 5_000
 #: Rows that one task orders, more or less, when a source's rows are ranked.
@@ -114,14 +114,14 @@ def ranked(rows: DataFrame, group: str, order: list[str], n_rows: int, name: str
     by themselves; the parts' sizes, added up, give where each starts.
     """
     bits = max(9, (n_rows // RANKED_ROWS).bit_length())
-    hashed = rows.withColumn("_hash", F.xxhash64(*order)).withColumn("_part", F.shiftrightunsigned("_hash", 64 - bits))
-    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = hashed.groupBy(group, "_part").agg(F.count("*").alias("_n")).select(group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy(group, "_part").orderBy("_hash", *order)) - 1
-    return hashed.withColumn("_inside", inside).join(starts, [group, "_part"]).withColumn(name, F.col("_start") + F.col("_inside")).drop("_hash", "_part", "_start", "_inside")
+    hashed = rows.withColumn("_mix_hash", F.xxhash64(*order)).withColumn("_mix_part", F.shiftrightunsigned("_mix_hash", 64 - bits))
+    before = Window.partitionBy(group).orderBy("_mix_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = hashed.groupBy(group, "_mix_part").agg(F.count("*").alias("_mix_n")).select(group, "_mix_part", F.coalesce(F.sum("_mix_n").over(before), F.lit(0)).alias("_mix_start"))
+    inside = F.row_number().over(Window.partitionBy(group, "_mix_part").orderBy("_mix_hash", *order)) - 1
+    return hashed.withColumn("_mix_inside", inside).join(starts, [group, "_mix_part"]).withColumn(name, F.col("_mix_start") + F.col("_mix_inside")).drop("_mix_hash", "_mix_part", "_mix_start", "_mix_inside")
 
 
-def mixed(df: DataFrame, shares: dict[str | None, float] | None = None, temperature: float = 0.5, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def mixed(df: DataFrame, shares: dict[str | None, float] | None = None, temperature: float = 0.5, block_rows: int | None = None) -> DataFrame:
     """``df`` with ``mix_block, mix_slot, mix_position``: each row's block, the block's slot, the row's place.
 
     ``shares`` are target weights by source; without them, or for sources that
@@ -130,12 +130,18 @@ def mixed(df: DataFrame, shares: dict[str | None, float] | None = None, temperat
     last, shorter block of a source leave a gap.  A null source is a source of
     its own; null and empty texts and null or repeated ids are placed like
     others, equal rows in any order among themselves; an empty table stays
-    empty.  All columns of the input are kept; those three are replaced.
+    empty.  All columns of the input are kept; those three are replaced, and
+    names that begin with ``_mix_`` are not allowed.  Blocks have ``block_rows``
+    rows, by default ``BLOCK_ROWS`` and so many more that there are no more
+    than about ``MOST_BLOCKS`` of them.  Starts a job at once.
     """
-    rows = df.drop("mix_block", "mix_slot", "mix_position").withColumn("_source", F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "source")))
-    counts = {r["_source"]: r["n"] for r in rows.groupBy("_source").agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()}
+    if clash := [c for c in df.columns if c.lower().startswith("_mix_")]:
+        raise ValueError(f"columns {clash} begin with _mix_")
+    rows = df.drop("mix_block", "mix_slot", "mix_position").withColumn("_mix_source", F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "source")))
+    counts = {r["_mix_source"]: r["n"] for r in rows.groupBy("_mix_source").agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()}
     if len(counts) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources; group them into fewer")
+    block_rows = block_rows or max(BLOCK_ROWS, -(-sum(counts.values()) // MOST_BLOCKS))
     named = {("-" if s is None else f"+{s}"): x for s, x in (shares or {}).items()}
     free = {s: n**temperature for s, n in counts.items() if s not in named}
     plan = schedule({s: -(-n // block_rows) for s, n in counts.items()}, {s: named.get(s, free.get(s, 0.0)) for s in counts})
@@ -149,9 +155,9 @@ def mixed(df: DataFrame, shares: dict[str | None, float] | None = None, temperat
         return type(block)(out)
 
     order = [c for c in ("doc_id", "text") if c in df.columns]
-    out = ranked(rows, "_source", order, sum(counts.values()), "_rank")
-    out = out.withColumn("mix_block", F.floor(F.col("_rank") / block_rows)).withColumn("mix_slot", slot("_source", "mix_block"))
-    return out.withColumn("mix_position", F.col("mix_slot") * block_rows + F.col("_rank") % block_rows).drop("_source", "_rank")
+    out = ranked(rows, "_mix_source", order, sum(counts.values()), "_mix_rank")
+    out = out.withColumn("mix_block", F.floor(F.col("_mix_rank") / block_rows)).withColumn("mix_slot", slot("_mix_source", "mix_block"))
+    return out.withColumn("mix_position", F.col("mix_slot") * block_rows + F.col("_mix_rank") % block_rows).drop("_mix_source", "_mix_rank")
 
 
 def in_order(df: DataFrame, **how) -> DataFrame:
