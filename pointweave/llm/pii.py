@@ -112,6 +112,8 @@ a 5 x 7 print of 1920 x 1080 pixels
 sum of 12345 and 67890 is 80235
 """
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
+#: Tokens of a piece of a chain, and positions before it that tell its first scores, at first.
+PIECE, WARM = 512, 32
 #: Tokens whose shapes a worker keeps.
 MOST_KEPT = 200_000
 #: Characters that what is tagged can have at most, by its kind.
@@ -182,35 +184,77 @@ class CRF:
             out += self.weights[flat[place + k] + k * N_SHAPES]
         return out
 
+    def entries(self, local: np.ndarray, at: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Scores of the labels just before each place ``at``, but for a constant; ``begin`` is where its chain begins.
+
+        They are taken from so few positions back that the label before these
+        makes no difference, or else from the chain's beginning.
+        """
+        k = len(LABELS)
+        out, todo, back = np.zeros((len(at), k)), np.arange(len(at)), WARM
+        while len(todo):
+            start = np.maximum(at[todo] - back, begin[todo])
+            whole, steps = start == begin[todo], at[todo] - start
+            score = np.where(whole[:, None, None], self.first, self.moves) + local[start][:, None]
+            for t in range(1, int(steps.max())):
+                live = np.flatnonzero(steps > t)
+                score[live] = (score[live][:, :, :, None] + self.moves).max(axis=2) + local[start[live] + t][:, None]
+            score -= score.max(axis=2, keepdims=True)
+            same = (score.max(axis=1) - score.min(axis=1)).max(axis=1) < 1e-9
+            out[todo[same]] = score[same, 0]
+            todo, back = todo[~same], back * 4
+        return out
+
     def viterbi(self, chains: list[np.ndarray]) -> list[np.ndarray]:
-        """The best labels of each chain of shapes; all chains advance together, in order of length."""
-        if not chains:
-            return []
-        order = sorted(range(len(chains)), key=lambda i: -len(chains[i]))
-        lengths = np.array([len(chains[i]) for i in order])
-        steps, k = int(lengths[0]), len(LABELS)
-        flat = self.local([chains[i] for i in order])
-        at = np.cumsum([0, *lengths])[:-1]
-        alive = np.searchsorted(-lengths, -np.arange(steps), side="left")  # chains longer than each step
-        score = np.zeros((len(chains), k))
-        if steps:
-            score[: alive[0]] = flat[at[: alive[0]]] + self.first
+        """The best labels of each chain of shapes.
+
+        Chains are cut into pieces that advance together, so a long text takes
+        no more steps than a short one: a piece begins with the exact scores
+        before it, and the best path is put together from its pieces' paths.
+        """
+        k = len(LABELS)
+        sizes = np.array([len(c) for c in chains], np.int64)
+        if not sizes.sum():
+            return [np.zeros(0, np.int64) for _ in chains]
+        flat = self.local(chains)
+        begin = np.cumsum(sizes) - sizes
+        number = -(-sizes // PIECE)  # pieces of each chain
+        chain_of = np.repeat(np.arange(len(chains)), number)
+        nth = np.arange(len(chain_of)) - np.repeat(np.cumsum(number) - number, number)
+        at = begin[chain_of] + nth * PIECE
+        length = np.minimum(PIECE, begin[chain_of] + sizes[chain_of] - at)
+        before = np.zeros((len(at), k), np.int64)  # the best label before a piece by its first label
+        score = self.first + flat[at]
+        inner = np.flatnonzero(nth)
+        if len(inner):
+            total = self.entries(flat, at[inner], begin[chain_of[inner]])[:, :, None] + self.moves
+            before[inner], score[inner] = total.argmax(axis=1), total.max(axis=1) + flat[at[inner]]
+        order = np.argsort(-length, kind="stable")
+        lengths, places, score = length[order], at[order], score[order]
+        steps = int(lengths[0])
+        alive = np.searchsorted(-lengths, -np.arange(steps), side="left")  # pieces longer than each step
         back = []
         for t in range(1, steps):
             live = alive[t]
             total = score[:live, :, None] + self.moves
             back.append(total.argmax(axis=1).astype(np.int8))
-            score[:live] = total.max(axis=1) + flat[at[:live] + t]
-        now, paths = score.argmax(axis=1), np.zeros(len(flat), np.int64)
+            score[:live] = total.max(axis=1) + flat[places[:live] + t]
+        whence = np.tile(np.arange(k), (len(at), 1))  # the label at a piece's beginning by that at its end
+        for t in range(steps - 1, 0, -1):
+            whence[: alive[t]] = np.take_along_axis(back[t - 1], whence[: alive[t]], axis=1)
+        place_of = np.empty(len(at), np.int64)
+        place_of[order] = np.arange(len(at))
+        ends = score.argmax(axis=1)[place_of]
+        for p in range(len(at) - 1, 0, -1):  # from a chain's last piece to its first
+            if nth[p]:
+                ends[p - 1] = before[p, whence[place_of[p], ends[p]]]
+        now, paths = ends[order], np.zeros(len(flat), np.int64)
         for t in range(steps - 1, -1, -1):
             live = alive[t]
-            paths[at[:live] + t] = now[:live]
+            paths[places[:live] + t] = now[:live]
             if t:
                 now[:live] = back[t - 1][np.arange(live), now[:live]]
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(chains)
-        for j, i in enumerate(order):
-            out[i] = paths[at[j] : at[j] + lengths[j]]
-        return out
+        return np.split(paths, begin[1:]) if len(chains) > 1 else [paths]
 
 
 def _log_sum(a: np.ndarray, axis: int) -> np.ndarray:
@@ -274,8 +318,23 @@ _SHAPES = _Shapes()
 
 def chain(text: str) -> np.ndarray:
     """The shapes of all tokens of a text."""
-    own = _TOKEN.findall(text)
-    return np.fromiter(map(_SHAPES.__getitem__, own), np.int64, len(own))
+    return shapes_of(_TOKEN.findall(text))
+
+
+def shapes_of(tokens: list[str]) -> np.ndarray:
+    return np.fromiter(map(_SHAPES.__getitem__, tokens), np.int64, len(tokens))
+
+
+def _possible(kind: str, tokens: list[str]) -> bool:
+    """What :func:`_plausible` asks of the tokens alone, before their places are known."""
+    if kind == "secret":
+        return len(tokens) == 1 and len(tokens[0]) >= 16
+    if kind == "email":
+        low = set(map(str.lower, tokens))
+        return "at" in low and "dot" in low
+    if kind == "ip":
+        return len(tokens) == 7
+    return sum(len(x) for x in tokens if x.isalnum()) >= 10
 
 
 def _plausible(kind: str, s: str) -> bool:
@@ -297,22 +356,23 @@ def _plausible(kind: str, s: str) -> bool:
 def find(texts: list[str], model: CRF) -> list[tuple[list[Span], list[Span]]]:
     """For each text the patterns' spans, and all spans with those that the field adds."""
     base = [base_spans(t) for t in texts]
-    paths = model.viterbi([chain(t) for t in texts])
+    cut = [_TOKEN.findall(t) for t in texts]
+    paths = model.viterbi([shapes_of(t) for t in cut])
     rank = {k: n for n, k in enumerate((*KINDS, "secret"))}
     out = []
-    for text, own, path in zip(texts, base, paths, strict=True):
+    for text, tokens, own, path in zip(texts, cut, base, paths, strict=True):
         free: list[Span] = []
-        if path.any():
+        edges = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1], [True]])) if path.any() else np.zeros(0, np.int64)
+        runs = [(t, u) for t, u in itertools.pairwise(edges.tolist()) if path[t] and _possible(LABELS[path[t]], tokens[t:u])]
+        if runs:
             places = [m.span() for m in _TOKEN.finditer(text)]
-            edges = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1], [True]])).tolist()
             ends = sorted((a, b) for a, b, _ in own)
             starts, reach = [a for a, _ in ends], list(itertools.accumulate((b for _, b in ends), max))
-            for t, u in itertools.pairwise(edges):
-                if path[t]:
-                    a, b, kind = places[t][0], places[u - 1][1], LABELS[path[t]]
-                    before = bisect.bisect_left(starts, b)  # the patterns' spans that start before its end
-                    if _plausible(kind, text[a:b]) and not (before and reach[before - 1] > a):
-                        free.append((a, b, kind))
+            for t, u in runs:
+                a, b, kind = places[t][0], places[u - 1][1], LABELS[path[t]]
+                before = bisect.bisect_left(starts, b)  # the patterns' spans that start before its end
+                if _plausible(kind, text[a:b]) and not (before and reach[before - 1] > a):
+                    free.append((a, b, kind))
         out.append((own, sorted([*own, *free], key=lambda s: (s[0], rank[s[2]]))))
     return out
 

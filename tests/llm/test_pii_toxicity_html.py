@@ -160,3 +160,16 @@ def test_training_bounds(spark):
     labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows for _ in range(2)] + [(None, 1, 1), (5, 1, None)], "doc_id bigint, quality int, toxic int")
     assert toxicity.train(docs, labels) == toxicity.train(docs, labels.distinct())
     assert toxicity.train(docs, labels, most_chars=10).coefficients == (-5.0, 3.0, 1.0, 0.5, 0.0, 0.0)
+
+
+def test_pieces_give_the_whole_path(monkeypatch):
+    r = np.random.default_rng(1)
+    k = len(pii.LABELS)
+    model = pii.CRF(r.normal(size=(5 * pii.N_SHAPES, k)), 2 * r.normal(size=(k, k)), r.normal(size=k))
+    chains = [r.integers(0, pii.N_SHAPES, n) for n in (0, 1, 7, 100, 33, 0, 64, 250, 8)]
+    want = model.viterbi(chains)
+    for piece, warm in ((8, 1), (5, 3), (64, 2), (1, 1)):
+        monkeypatch.setattr(pii, "PIECE", piece)
+        monkeypatch.setattr(pii, "WARM", warm)
+        got = model.viterbi(chains)
+        assert [x.tolist() for x in got] == [x.tolist() for x in want]
