@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
@@ -45,6 +46,17 @@ def parser() -> argparse.ArgumentParser:
     command("keyframes-join", "output").add_argument("inputs", nargs="+")
     command("keyframes-move", "input", "output", "pose")
     command("keyframes-level", "input", "output")
+    t = command("keyframes-trim", "input", "output")
+    for a in "xyz":
+        t.add_argument(f"--min-{a}", type=float)
+        t.add_argument(f"--max-{a}", type=float)
+    command("keyframes-export", "input", "observations", "output").add_argument("--twists", help="where to write the twists")
+    command("keyframes-export-log", "input", "observations", "output")
+    g = command("georeference", "map")
+    g.add_argument("--extract", help="file to write the map's reference to")
+    g.add_argument("--inject", help="file to read the reference from")
+    g.add_argument("--output", help="the map with the reference that was read")
+    command("scans", "keyframes", "observations", "points", "config", "output")
     return p
 
 
@@ -76,12 +88,35 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         with open(a.config) as f:
             config = pipeline.from_yaml(f.read())
         files.save_map(mapbuilder.build(*[spark.read.parquet(x) for x in (a.keyframes, a.observations, a.points)], config), a.output)
+    elif a.command == "scans":
+        with open(a.config) as f:
+            config = pipeline.from_yaml(f.read())
+        mapbuilder.scans(*[spark.read.parquet(x) for x in (a.keyframes, a.observations, a.points)], config).write.mode("overwrite").parquet(a.output)
+    elif a.command == "georeference":
+        m = files.load_map(spark, a.map)
+        if a.extract:
+            if m.georeference is None:
+                raise SystemExit("the map has no geographic reference")
+            with open(a.extract, "w") as f:
+                f.write(files.georeference_yaml(m.georeference))
+        if a.inject:
+            with open(a.inject) as f:
+                files.save_map(replace(m, georeference=files.georeference_from_yaml(f.read())), a.output)
+    elif a.command in ("keyframes-export", "keyframes-export-log"):
+        kfs, obs = spark.read.parquet(a.input), spark.read.parquet(a.observations)
+        if a.command == "keyframes-export-log":
+            keyframes.as_observations(kfs, obs).write.mode("overwrite").parquet(a.output)
+        else:
+            files.write_trajectory(keyframes.trajectory(kfs, obs), a.output)
+            if a.twists:
+                files.write_twists(keyframes.twists(kfs, obs), a.twists)
     elif a.command == "keyframes-info":
         keyframes.info(spark.read.parquet(a.input)).show(1, False)
     else:
         kfs = [spark.read.parquet(x) for x in (a.inputs if a.command == "keyframes-join" else [a.input])]
         out = {
             "keyframes-cut": lambda: keyframes.cut(kfs[0], a.from_index, a.to_index),
+            "keyframes-trim": lambda: keyframes.trim(kfs[0], (a.min_x, a.min_y, a.min_z), (a.max_x, a.max_y, a.max_z)),
             "keyframes-join": lambda: keyframes.joined(kfs),
             "keyframes-move": lambda: keyframes.turned(kfs[0], Pose.parse(a.pose)),
             "keyframes-level": lambda: keyframes.turned(kfs[0], keyframes.level(kfs[0])),

@@ -39,13 +39,19 @@ def posed(yaw: Column, pitch: Column, roll: Column, tx: Column, ty: Column, tz:
     )
 
 
-def turned(w: tuple[float, float, float], t: Column, x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
-    """Exp(w t) p by Rodrigues' formula, with a constant rate and a time column."""
-    n = math.sqrt(sum(v * v for v in w))
-    if n == 0:
-        return x, y, z
-    k = [v / n for v in w]
-    angle = F.lit(n) * t
+def turned(w: tuple[float | Column, float | Column, float | Column], t: Column, x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
+    """Exp(w t) p by Rodrigues' formula, with a constant rate, or one in columns, and a time column."""
+    if any(isinstance(v, Column) for v in w):
+        w = [v if isinstance(v, Column) else F.lit(float(v)) for v in w]
+        n = F.sqrt(squared_norm(*w))
+        k = [v / F.when(n == 0, F.lit(1.0)).otherwise(n) for v in w]
+        angle = n * t
+    else:
+        size = math.sqrt(sum(v * v for v in w))
+        if size == 0:
+            return x, y, z
+        k = [v / size for v in w]
+        angle = F.lit(size) * t
     cos, sin = F.cos(angle), F.sin(angle)
     dot = k[0] * x + k[1] * y + k[2] * z
     cross = (k[1] * z - k[2] * y, k[2] * x - k[0] * z, k[0] * y - k[1] * x)
@@ -64,3 +70,20 @@ def uniform_cell(v: Column, size: float) -> Column:
 
 def probability(log_odds: Column) -> Column:
     return 1 / (1 + F.exp(-log_odds))
+
+
+def erf(v: Column) -> Column:
+    """The error function by a rational approximation, off by less than 2e-7."""
+    x = F.abs(v)
+    t = 1 / (1 + F.lit(0.3275911) * x)
+    series = F.lit(1.061405429)
+    for a in (-1.453152027, 1.421413741, -0.284496736, 0.254829592):
+        series = series * t + F.lit(a)
+    return F.signum(v) * (1 - series * t * F.exp(-x * x))
+
+
+def recolored(v: Column, low: Column, high: Column) -> tuple[Column, Column, Column]:
+    """Red, green and blue from 0 to 1 of a value between two bounds: blue, cyan, green, yellow, red."""
+    u = F.least(F.greatest((v - low) / F.when(high == low, F.lit(1.0)).otherwise(high - low), F.lit(0.0)), F.lit(1.0)) * 4
+    clip = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
+    return clip(u - 2), clip(F.lit(2.0) - F.abs(u - 2)), clip(F.lit(2.0) - u)

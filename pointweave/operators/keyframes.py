@@ -19,29 +19,41 @@ def cut(kfs: DataFrame, first: int, last: int) -> DataFrame:
 
 
 def trim(kfs: DataFrame, low: tuple, high: tuple) -> DataFrame:
-    """Keyframes whose place lies in a closed box; axes with None are free."""
+    """Keyframes whose place lies in a closed box; bounds that are None are free."""
     for a, lo, hi in zip("xyz", low, high, strict=True):
         if lo is not None:
-            kfs = kfs.where(F.col(a).between(lo, hi))
+            kfs = kfs.where(F.col(a) >= lo)
+        if hi is not None:
+            kfs = kfs.where(F.col(a) <= hi)
     return kfs
 
 
 def turned(kfs: DataFrame, pose: Pose) -> DataFrame:
-    """``pose`` times each keyframe's pose, and its covariance (``cov``, 36 numbers) if there."""
-    with_cov = "cov" in kfs.columns
+    """``pose`` times each keyframe's pose, and its covariance (``cov``, 36 numbers) if there; all as column expressions."""
+    a = [[float(v) for v in row] for row in pose.rotation]
+    c, s = {k: F.cos(k) for k in POSE[3:]}, {k: F.sin(k) for k in POSE[3:]}
+    own = [
+        [c["yaw"] * c["pitch"], c["yaw"] * s["pitch"] * s["roll"] - s["yaw"] * c["roll"], c["yaw"] * s["pitch"] * c["roll"] + s["yaw"] * s["roll"]],
+        [s["yaw"] * c["pitch"], s["yaw"] * s["pitch"] * s["roll"] + c["yaw"] * c["roll"], s["yaw"] * s["pitch"] * c["roll"] - c["yaw"] * s["roll"]],
+        [-s["pitch"], c["pitch"] * s["roll"], c["pitch"] * c["roll"]],
+    ]
+
+    def r(i: int, j: int):
+        return sum((F.lit(a[i][k]) * own[k][j] for k in range(3)), F.lit(0.0))
 
-    def run(batches):
-        for b in batches:
-            out = b.copy()
-            poses = [pose @ Pose.of(*map(float, v)) for v in b[POSE].to_numpy()]
-            out[POSE] = np.array([p.values() for p in poses]).reshape(-1, 6)
-            if with_cov:
-                j = np.zeros((6, 6))
-                j[:3, :3], j[3:, 3:] = pose.rotation, np.eye(3)
-                out["cov"] = [None if c is None else (j @ np.array(c).reshape(6, 6) @ j.T).ravel().tolist() for c in b["cov"]]
-            yield out
+    x, y, z = g.transformed(pose)
+    new = {"x": x, "y": y, "z": z, "yaw": F.atan2(r(1, 0), r(0, 0)), "pitch": F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -r(2, 0)))), "roll": F.atan2(r(2, 1), r(2, 2))}
+    if "cov" in kfs.columns:  # only the places' axes turn
+
+        def j(p: int, q: int) -> float:
+            return a[p][q] if p < 3 and q < 3 else float(p == q)
+
+        def entry(p: int, q: int):
+            terms = [F.lit(j(p, m) * j(q, n)) * F.get("cov", F.lit(6 * m + n)) for m in range(6) for n in range(6) if j(p, m) and j(q, n)]
+            return sum(terms[1:], terms[0])
 
-    return kfs.mapInPandas(run, kfs.schema)
+        new["cov"] = F.when(F.col("cov").isNotNull(), F.array(*[entry(p, q) for p in range(6) for q in range(6)]))
+    return kfs.withColumns(new).select(*kfs.columns)
 
 
 def moved_places(kfs: DataFrame, pose: Pose) -> DataFrame:
@@ -62,8 +74,11 @@ def joined(maps: list[DataFrame]) -> DataFrame:
 
 
 def info(kfs: DataFrame) -> DataFrame:
-    """One row: count, extent of places and times."""
-    return kfs.agg(F.count("*").alias("n"), *[f(a).alias(f"{k}_{a}") for a in "xyz" for k, f in (("min", F.min), ("max", F.max))], F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    """One row: count, extent of places and times, seconds between first and last, whether there is a twist."""
+    twist = F.coalesce(F.bool_or(F.col("vx").isNotNull()), F.lit(False)) if "vx" in kfs.columns else F.max(F.lit(False))
+    span = (F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))) / 1e6
+    return kfs.agg(
+        span.alias("span"), F.coalesce(twist, F.lit(False)).alias("has_twist"), F.count("*").alias("n"), *[f(a).alias(f"{k}_{a}") for a in "xyz" for k, f in (("min", F.min), ("max", F.max))], F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
 def observation_info(obs: DataFrame) -> DataFrame:
@@ -76,6 +91,12 @@ def trajectory(kfs: DataFrame, obs: DataFrame) -> DataFrame:
     return kfs.drop("ts").join(first, "kf_id").select("t", *POSE)
 
 
+def twists(kfs: DataFrame, obs: DataFrame) -> DataFrame:
+    """``t, vx .. wz`` of keyframes that have a twist, by the time of their first observation."""
+    first = obs.where("ts is not null").groupBy("kf_id").agg(F.min_by("ts", "obs_id").alias("t"))
+    return kfs.where("vx is not null").join(first, "kf_id").select("t", "vx", "vy", "vz", "wx", "wy", "wz")
+
+
 def as_observations(kfs: DataFrame, obs: DataFrame) -> DataFrame:
     """The observations, with a pose and (where there is one) a twist of each keyframe among them."""
     kind = obs.select("kf_id", "ts", "class", "label", F.col("payload").cast("string"))

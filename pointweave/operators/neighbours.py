@@ -121,7 +121,6 @@ def match_inlier_ratio(local: DataFrame, world: DataFrame, pose: Pose, ratio: fl
 
 def best_share(pairs: DataFrame, ratio: float) -> DataFrame:
     """The round(n * ratio) pairs with the least distance: by the quantile's distance, ties by id."""
-    pairs = pairs.persist()
     keep = int(math.floor(pairs.count() * ratio + 0.5))
     if not keep:
         return pairs.where(F.lit(False))

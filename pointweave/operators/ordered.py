@@ -11,7 +11,7 @@ from pointweave.functions import geometry as g
 from pointweave.schema import require
 
 
-def spaced(df: DataFrame, clearance: float, by: str = "ring") -> DataFrame:
+def spaced(df: DataFrame, clearance: float, by: str | list[str] = "ring") -> DataFrame:
     """Drops points closer (in any axis) than ``clearance`` to the last point kept of their ring.
 
     Each decision needs the one before, so a ring is read in one piece.
@@ -29,18 +29,21 @@ def spaced(df: DataFrame, clearance: float, by: str = "ring") -> DataFrame:
                 kept[i], last = True, i
         return ring[kept]
 
-    return df.groupBy(by).applyInPandas(keep, df.schema)
+    return df.groupBy(*([by] if isinstance(by, str) else by)).applyInPandas(keep, df.schema)
 
 
-def curvature(df: DataFrame, max_cosine: float = 0.5, clearance: float = 0.0, max_gap: float = 2.0, by: str = "ring") -> DataFrame:
+def curvature(df: DataFrame, max_cosine: float = 0.5, clearance: float = 0.0, max_gap: float = 2.0, by: str | list[str] | None = None) -> DataFrame:
     """``class`` of each point: ``larger`` or ``smaller`` curvature, or ``other``.
 
     Neighbours are the points before and after on the ring, which closes on
     itself.  Next to a gap a point counts as larger if it is closer to the
     sensor than the one before; rings of up to three points are all larger.
+    A ring is told by ``by``: by default ``ring`` and, where these are there,
+    the scan or keyframe.
     """
-    require(df, by)
-    own = Window.partitionBy(by)
+    by = [by] if isinstance(by, str) else by or [*(c for c in ("kf_id", "obs_id", "scan_id") if c in df.columns), "ring"]
+    require(df, *by)
+    own = Window.partitionBy(*by)
     line, whole = own.orderBy("point_id"), own.orderBy("point_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = spaced(df, clearance, by).withColumn("_n", F.count("*").over(own))
     for a in "xyz":

@@ -51,11 +51,12 @@ def by_ring(df: DataFrame, rings: int | list[int]) -> Split:
 def by_occupancy(points: DataFrame, voxels: DataFrame, resolution: float, threshold: float) -> Split:
     """Points in voxels that are surely occupied (``static``) or surely free (``dynamic``).
 
-    ``voxels`` has ``cx, cy, cz, occupancy``.  Points without a voxel, and
+    ``voxels`` has ``cx, cy, cz, occupancy``, cells of uniform width, as
+    :func:`~pointweave.operators.voxels.occupancy` makes them.  Points without a voxel, and
     those in voxels that are neither, go nowhere.  One equi-join on the cell.
     """
     f = min(threshold, 1 - threshold)
-    keyed = points.withColumns({f"c{a}": g.cell(F.col(a), resolution) for a in "xyz"})
+    keyed = points.withColumns({f"c{a}": g.uniform_cell(F.col(a), resolution).cast("int") for a in "xyz"})
     joined = keyed.join(voxels.select("cx", "cy", "cz", F.col("occupancy").alias("_occupancy")), ["cx", "cy", "cz"])
     p = F.col("_occupancy")
     return {k: joined.where(w).select(*points.columns) for k, w in (("static", p > 1 - f), ("dynamic", p < f))}
@@ -81,12 +82,13 @@ def adjust_timestamps(df: DataFrame, method: str, offset: float = 0.0, by: list[
     return joined.withColumn("t", new).select(*df.columns)
 
 
-def normalize_intensity(df: DataFrame, fixed: tuple[float, float] | None = None, remember: str | None = None) -> DataFrame:
+def normalize_intensity(df: DataFrame, fixed: tuple[float, float] | None = None, remember: str | None = None, by: list[str] | None = None) -> DataFrame:
     """``intensity`` into 0 to 1 by its extremes.
 
     The extremes are ``fixed``, those of all points, or, with the name of an
     ordered column in ``remember``, those of all points up to the row's own
-    value of it, as when scans come one after the other.
+    value of it, as when scans come one after the other; or, with ``by``, those
+    of each group.
     """
     require(df, "intensity")
     i = F.col("intensity")
@@ -96,6 +98,8 @@ def normalize_intensity(df: DataFrame, fixed: tuple[float, float] | None = None,
         own = df.groupBy(remember).agg(F.min("intensity").alias("_lo"), F.max("intensity").alias("_hi"))
         so_far = Window.orderBy(remember).rowsBetween(Window.unboundedPreceding, 0)  # over one row for each scan
         joined = df.join(own.select(remember, F.min("_lo").over(so_far).alias("_lo"), F.max("_hi").over(so_far).alias("_hi")), remember)
+    elif by:
+        joined = df.join(df.groupBy(*by).agg(F.min("intensity").alias("_lo"), F.max("intensity").alias("_hi")), by)
     else:
         joined = df.crossJoin(F.broadcast(df.agg(F.min("intensity").alias("_lo"), F.max("intensity").alias("_hi"))))  # a single row
     lo, hi = F.col("_lo"), F.col("_hi")
@@ -108,8 +112,8 @@ def moved(df: DataFrame, pose: Pose) -> DataFrame:
     return df.withColumns({"x": x, "y": y, "z": z})
 
 
-def deskew(df: DataFrame, twist: tuple[float, ...], ignore_missing_times: bool = False, skip: bool = False) -> DataFrame:
-    """Points as seen at time zero under a constant twist (v, w).  Points at the origin stay there."""
+def deskew(df: DataFrame, twist: tuple[Number, ...], ignore_missing_times: bool = False, skip: bool = False) -> DataFrame:
+    """Points as seen at time zero under a constant twist (v, w), whose numbers may be columns.  Points at the origin stay there."""
     if skip or ("t" not in df.columns and ignore_missing_times):
         return df
     require(df, "t")

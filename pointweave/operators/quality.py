@@ -5,10 +5,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from pointweave.functions import geometry as g
 from pointweave.functions.se3 import Pose
@@ -28,16 +26,6 @@ def range_image(df: DataFrame, ncols: int, nrows: int, fx: float, fy: float, cx:
     return rows.where((F.col("u") >= 0) & (F.col("v") >= 0) & (F.col("u") < ncols) & (F.col("v") < nrows)).groupBy("u", "v").agg(F.min("range").alias("range"))
 
 
-def erf(c: Column) -> Column:
-    """The error function, which Spark hasn't."""
-
-    @F.pandas_udf(DoubleType())
-    def of(x: pd.Series) -> pd.Series:
-        return x.map(math.erf, na_action="ignore")
-
-    return of(c)
-
-
 def range_image_score(local: DataFrame, world: DataFrame, pose: Pose, camera: dict, sigma: float = 0.1, unseen: float = 2.0) -> DataFrame:
     """One row ``score``: the likeness of both clouds' ranges from either place, averaged.
 
@@ -48,7 +36,7 @@ def range_image_score(local: DataFrame, world: DataFrame, pose: Pose, camera: di
     for a, b in ((world, moved(local, pose.inverse())), (moved(world, pose), local)):
         both = range_image(a, **camera).withColumnRenamed("range", "ra").join(range_image(b, **camera).withColumnRenamed("range", "rb"), ["u", "v"], "full_outer")
         off = F.coalesce(F.abs(F.col("ra") - F.col("rb")) / sigma, F.lit(unseen))
-        parts.append(both.select((1 - erf(off / math.sqrt(2))).alias("s")).agg(F.coalesce(F.avg("s"), F.lit(0.0)).alias("s")))
+        parts.append(both.select((1 - g.erf(off / math.sqrt(2))).alias("s")).agg(F.coalesce(F.avg("s"), F.lit(0.0)).alias("s")))
     return parts[0].unionByName(parts[1]).agg(F.avg("s").alias("score"))
 
 

@@ -226,6 +226,13 @@ def largest_errors(pairs: DataFrame) -> DataFrame:
     return kept.withColumn("_r", rank).where((F.col("err") >= 0.25 * F.col("_most")) | (F.col("_r") <= 3)).drop("_most", "_r")
 
 
+def weighted(pairs: DataFrame, pose: Pose, kernel: str = "None", c: float = 1.0, weight: float = 1.0) -> Column:
+    """The weight of each point pair: its own, the kind's, and a robust kernel's at the current pose."""
+    e, _ = residuals("pt2pt", pose)
+    own = F.col("weight") if "weight" in pairs.columns else F.lit(1.0)
+    return own * F.lit(float(weight)) * robust_weight(kernel, g.squared_norm(*e), c)
+
+
 def without_scale_outliers(pairs: DataFrame, threshold: float = 1.2) -> DataFrame:
     """Point pairs whose distances from the two centroids have a ratio of at most ``threshold``."""
     c = pairs.agg(*[F.avg(f"{k}{a}").alias(f"{k}{a}") for k in "lg" for a in "xyz"]).first()

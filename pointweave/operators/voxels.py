@@ -24,7 +24,7 @@ def quadratic_key(radius: float) -> dict[str, Column]:
 
 
 def decimated(
-    df: DataFrame, resolution: float, method: str = "first", key: dict[str, Column] | None = None, seed: int = 0, flatten_to: float | None = None, minimum_points: int = 0
+    df: DataFrame, resolution: float, method: str = "first", key: dict[str, Column] | None = None, seed: int = 0, flatten_to: float | None = None, minimum_points: int = 0, by: list[str] | None = None
 ) -> DataFrame:
     """One point for each voxel, with the voxel and its number of points ``n``.
 
@@ -32,27 +32,29 @@ def decimated(
     channels; ``closest``: the point closest to the average, of equally close
     ones the first; ``random``: the least hash of ``point_id``.  With
     ``flatten_to`` one point stays for each (cx, cy), at that height.  Clouds
-    of at most ``minimum_points`` points come back whole.
+    of at most ``minimum_points`` points come back whole.  With ``by`` the
+    groups of these columns, such as scans, are thinned each by itself.
     """
+    cells = [*(by or []), *CELL]
     if minimum_points and df.limit(minimum_points + 1).count() <= minimum_points:
         return keyed(df, resolution, key).withColumn("n", F.lit(1).cast("bigint"))
     own = keyed(df, resolution, key)
-    names = [c for c in df.columns if c not in CELL]
+    names = [c for c in df.columns if c not in cells]
     if method == "mean":
-        out = own.groupBy(*CELL).agg(*[F.avg(a).alias(a) for a in "xyz"], F.min("point_id").alias("point_id"), F.count("*").alias("n"))
+        out = own.groupBy(*cells).agg(*[F.avg(a).alias(a) for a in "xyz"], F.min("point_id").alias("point_id"), F.count("*").alias("n"))
     elif method in ("first", "random"):
         order = F.col("point_id") if method == "first" else F.struct(random_rank(seed), "point_id")
-        out = own.groupBy(*CELL).agg(F.min_by(F.struct(*names), order).alias("p"), F.count("*").alias("n")).select(*CELL, "p.*", "n")
+        out = own.groupBy(*cells).agg(F.min_by(F.struct(*names), order).alias("p"), F.count("*").alias("n")).select(*cells, "p.*", "n")
     elif method == "closest":
-        means = own.groupBy(*CELL).agg(*[F.avg(a).alias(f"_m{a}") for a in "xyz"], F.count("*").alias("n"))
+        means = own.groupBy(*cells).agg(*[F.avg(a).alias(f"_m{a}") for a in "xyz"], F.count("*").alias("n"))
         d2 = F.round(g.squared_distance(("x", "y", "z"), tuple(F.col(f"_m{a}") for a in "xyz")), 9)
-        near = own.join(means, CELL).groupBy(*CELL).agg(F.min_by(F.struct(*names), F.struct(d2, F.col("point_id"))).alias("p"), F.max("n").alias("n"))
-        out = near.select(*CELL, "p.*", "n")
+        near = own.join(means, cells).groupBy(*cells).agg(F.min_by(F.struct(*names), F.struct(d2, F.col("point_id"))).alias("p"), F.max("n").alias("n"))
+        out = near.select(*cells, "p.*", "n")
     else:
         raise ValueError(f"no such method: {method}")
     if flatten_to is not None:
-        flat = out.groupBy("cx", "cy").agg(F.min_by(F.struct("x", "y", "point_id"), "point_id").alias("p"), F.sum("n").alias("n"))
-        out = flat.select("cx", "cy", "p.x", "p.y", F.lit(float(flatten_to)).alias("z"), "p.point_id", "n")
+        flat = out.groupBy(*cells[:-1]).agg(F.min_by(F.struct("x", "y", "point_id"), "point_id").alias("p"), F.sum("n").alias("n"))
+        out = flat.select(*cells[:-1], "p.x", "p.y", F.lit(float(flatten_to)).alias("z"), "p.point_id", "n")
     return out
 
 
@@ -96,7 +98,8 @@ def adaptive(df: DataFrame, target: int, minimum_box: float = 10.0, voxels_per_a
             break
         taken, last = taken + r["count"], r["_round"]
     whole = rows.where(F.col("_round") <= last)
-    rest = rows.where(F.col("_round") == last + 1).orderBy(F.xxhash64(*CELL), *CELL).limit(max(0, target - taken))
+    spread = F.pmod(F.col("cx") * F.lit(73856093) + F.col("cy") * F.lit(19349663) + F.col("cz") * F.lit(83492791), F.lit(1000003))
+    rest = rows.withColumns({c: F.col(c).cast("bigint") for c in CELL}).where(F.col("_round") == last + 1).orderBy(spread, *CELL).limit(max(0, target - taken))
     return whole.unionByName(rest).select(*df.columns)
 
 
@@ -146,30 +149,33 @@ def covariance_of_groups(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"), *[F.covar_pop(p[0], p[1]).alias(f"c{p}") for p in pairs])
 
 
-def edges_planes(df: DataFrame, resolution: float, keep_every: int = 1, full_every: int = 1, max_ratio: float = 30.0, min_ratio: float = 100.0, min_e1: float = 0.0) -> dict[str, DataFrame]:
+def edges_planes(df: DataFrame, resolution: float, keep_every: int = 1, full_every: int = 1, max_ratio: float = 30.0, min_ratio: float = 100.0, min_e1: float = 0.0, max_ratio1: float | None = None, min_ratio1: float | None = None, by: list[str] | None = None) -> dict[str, DataFrame]:
     """Points of voxels that are edges or planes, the planes, and a thinned cloud.
 
     A voxel of 5 points or more is an edge if e2 and e1 are under ``max_ratio``
-    times e0; else a plane if both are over ``min_ratio`` times e0 and e1 is
-    over ``min_e1``.  Normals face the origin.  Of a voxel's points each
-    ``keep_every``-th stays; a plane's only if its normal isn't upright.
+    and ``max_ratio1`` times e0; else a plane if they are over ``min_ratio`` and
+    ``min_ratio1`` times e0 and e1 is over ``min_e1`` (the ratios of e1 are those
+    of e2 if not given).  Normals face the origin.  Of a voxel's points each
+    ``keep_every``-th stays; a plane's only if its normal isn't upright.  With
+    ``full_every`` 0 the thinned cloud is empty.
     """
+    cells = [*(by or []), *CELL]
     rows = keyed(df, resolution)
-    shape = shapes(rows, CELL, 5)
-    edge = (F.col("e2") < max_ratio * F.col("e0")) & (F.col("e1") < max_ratio * F.col("e0"))
-    plane = ~edge & (F.col("e2") > min_ratio * F.col("e0")) & (F.col("e1") > min_ratio * F.col("e0")) & (F.col("e1") > min_e1)
+    shape = shapes(rows, cells, 5)
+    edge = (F.col("e2") < max_ratio * F.col("e0")) & (F.col("e1") < (max_ratio if max_ratio1 is None else max_ratio1) * F.col("e0"))
+    plane = ~edge & (F.col("e2") > min_ratio * F.col("e0")) & (F.col("e1") > (min_ratio if min_ratio1 is None else min_ratio1) * F.col("e0")) & (F.col("e1") > min_e1)
     towards = F.col("v0x") * F.col("mx") + F.col("v0y") * F.col("my") + F.col("v0z") * F.col("mz")
     sign = F.when(towards > 0, -1.0).otherwise(1.0)
     kind = shape.withColumn("kind", F.when(edge, "edge").when(plane, "plane").otherwise("other"))
-    numbered = rows.join(kind.select(*CELL, "kind", "v0z"), CELL).withColumn("_k", F.row_number().over(Window.partitionBy(*CELL).orderBy("point_id")) - 1)
+    numbered = rows.join(kind.select(*cells, "kind", "v0z"), cells).withColumn("_k", F.row_number().over(Window.partitionBy(*cells).orderBy("point_id")) - 1)
     every = F.col("_k") % keep_every == 0
     planes = kind.where("kind = 'plane'").select(
-        *CELL, *[(sign * F.col(f"v0{a}")).alias(f"n{a}") for a in "xyz"], (-(sign * towards)).alias("d"), *[F.col(f"m{a}").alias(f"c_{a}") for a in "xyz"], "n"
+        *cells, *[(sign * F.col(f"v0{a}")).alias(f"n{a}") for a in "xyz"], (-(sign * towards)).alias("d"), *[F.col(f"m{a}").alias(f"c_{a}") for a in "xyz"], "n"
     )
     return {
         "edge_points": numbered.where((F.col("kind") == "edge") & every).select(*df.columns),
         "plane_points": numbered.where((F.col("kind") == "plane") & (F.abs("v0z") < 0.9) & every).select(*df.columns),
-        "full_decim": numbered.where(F.col("_k") % full_every == 0).select(*df.columns),
+        "full_decim": numbered.where(F.col("_k") % full_every == 0 if full_every else F.lit(False)).select(*df.columns),
         "plane_centroids": planes.select(*[F.col(f"c_{a}").alias(a) for a in "xyz"]),
         "planes": planes,
     }
@@ -201,10 +207,44 @@ def by_pole(df: DataFrame, size: float, low: float, high: float, minimum_points:
 
 
 def occupancy(df: DataFrame, resolution: float, hit: float = 0.85, most: float = 3.5) -> DataFrame:
-    """Voxels with the log-odds of their hits added up, clamped, and as a probability."""
+    """Voxels of uniform width with the log-odds of their hits added up, clamped, and as a probability; they carry their ``resolution``."""
     log_odds = F.greatest(F.lit(-most), F.least(F.lit(most), F.count("*") * F.lit(float(np.log(hit / (1 - hit))))))
     out = df.select(*[g.uniform_cell(F.col(a), resolution).cast("int").alias(f"c{a}") for a in "xyz"]).groupBy(*CELL).agg(log_odds.alias("log_odds"))
-    return out.withColumn("occupancy", g.probability(F.col("log_odds")))
+    return out.withColumn("occupancy", g.probability(F.col("log_odds"))).withColumn("resolution", F.lit(float(resolution)))
+
+
+def resolution_of(voxels: DataFrame, given: float | None = None) -> float:
+    """The given resolution, or else the one that the voxels carry."""
+    if given is not None:
+        return float(given)
+    row = voxels.select("resolution").first() if "resolution" in voxels.columns else None
+    if row is None:
+        raise ValueError("the voxel layer does not carry its resolution, and none is given")
+    return row["resolution"]
+
+
+def merged(a: DataFrame, b: DataFrame, most: float = 3.5) -> DataFrame:
+    """Two voxel maps of one resolution: log-odds added up and clamped."""
+    both = a.select(*CELL, "log_odds", "resolution").unionByName(b.select(*CELL, "log_odds", "resolution"))
+    total = F.greatest(F.lit(-most), F.least(F.lit(most), F.sum("log_odds")))
+    return both.groupBy(*CELL).agg(total.alias("log_odds"), F.min("resolution").alias("resolution")).withColumn("occupancy", g.probability(F.col("log_odds"))).select(*CELL, "log_odds", "occupancy", "resolution")
+
+
+def members(df: DataFrame, resolution: float) -> DataFrame:
+    """``cx, cy, cz, point_ids, n``: all points of each voxel, by id."""
+    return keyed(df, resolution).groupBy(*CELL).agg(F.sort_array(F.collect_list("point_id")).alias("point_ids"), F.count("*").alias("n"))
+
+
+def visited(df: DataFrame, resolution: float, visitor, schema: str) -> DataFrame:
+    """What ``visitor`` makes of the points of each voxel, given and returned as a pandas table."""
+    return keyed(df, resolution).groupBy(*CELL).applyInPandas(visitor, schema)
+
+
+def every(df: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
+    """Every ``k``-th point by id, within the groups of ``by``, the first included; 0 gives none."""
+    if not k:
+        return df.where(F.lit(False))
+    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*(by or [])).orderBy("point_id")) - 1).where(F.col("_k") % k == 0).drop("_k")
 
 
 def voxel_slice(voxels: DataFrame, resolution: float, z_min: float, z_max: float, most: float = 3.5) -> DataFrame:

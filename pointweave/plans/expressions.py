@@ -59,22 +59,28 @@ class Expression:
             raise ValueError(f"{self.text!r} needs a value for {', '.join(missing)}")
         return float(self._run(self.tree, lambda n: (variables or {})[n], _NUMBERS, float))
 
-    def column(self) -> Column:
-        """With variables as columns, so that one query serves all keyframes."""
-        return self._run(self.tree, F.col, _COLUMNS, lambda v: F.lit(float(v)))
+    def column(self, variables: Mapping[str, float] | None = None) -> Column:
+        """With names that have no value as columns, so that one query serves all keyframes."""
+        known = variables or {}
+        return self._run(self.tree, lambda n: F.lit(float(known[n])) if n in known else F.col(n), _COLUMNS, lambda v: F.lit(float(v)))
 
 
-def realised(value, variables: Mapping[str, float] | None = None):
-    """A parameter as a number where it is an expression, and lists and maps of them likewise."""
+def realised(value, variables: Mapping[str, float] | None = None, columns: tuple[str, ...] = ()):
+    """A parameter as a number where it is an expression, and lists and maps of them likewise.
+
+    An expression with names among ``columns`` becomes a column.
+    """
     if isinstance(value, Mapping):
-        return {k: realised(v, variables) for k, v in value.items()}
+        return {k: realised(v, variables, columns) for k, v in value.items()}
     if isinstance(value, list):
-        return [realised(v, variables) for v in value]
+        return [realised(v, variables, columns) for v in value]
     if isinstance(value, str):
         if value.startswith("$f{") and value.endswith("}"):
             return Expression(value[3:-1]).value(variables)
         try:
-            return Expression(value).value(variables)
+            known = Expression(value)
+            free = known.names() - set(variables or {})
+            return known.column(variables) if free and free <= set(columns) else known.value(variables)
         except ValueError:
             return value
     return value

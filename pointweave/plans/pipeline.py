@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping
+from contextvars import ContextVar
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointweave.functions.se3 import Pose
@@ -15,6 +17,18 @@ from pointweave.plans.registry import FILTERS, lookup, registered
 from pointweave.pointmap import PointMap
 
 Filter = Callable[[PointMap], PointMap]
+#: Columns by which the filters group what they look at together; the builder sets it to a layer's observations.
+SCOPE: ContextVar[tuple[str, ...]] = ContextVar("scope", default=())
+#: Columns that a builder adds for parameters that depend on the keyframe.
+VARIABLES = ("robot_x", "robot_y", "robot_z", "robot_yaw", "robot_pitch", "robot_roll", "vx", "vy", "vz", "wx", "wy", "wz")
+
+
+def scope(df: DataFrame, supported: bool = True) -> list[str]:
+    """The columns by which ``df`` is looked at in parts; an operator that can't do so refuses."""
+    by = [c for c in SCOPE.get() if c in df.columns]
+    if by and not supported:
+        raise ValueError("this filter works on whole maps only; put it among the final filters")
+    return by
 
 
 def _outputs(m: PointMap, parts: Mapping[str, DataFrame], names: Mapping[str, str | None]) -> PointMap:
@@ -60,7 +74,7 @@ def _by_ring(m: PointMap, p: dict) -> PointMap:
 @registered(FILTERS, "FilterRemoveByVoxelOccupancy")
 def _by_occupancy(m: PointMap, p: dict) -> PointMap:
     voxel_layer = m.layer(p["input_voxel_layer"])
-    parts = predicates.by_occupancy(m.layer(p["input_pointcloud_layer"]), voxel_layer, p["resolution"], p["occupancy_threshold"])
+    parts = predicates.by_occupancy(m.layer(p["input_pointcloud_layer"]), voxel_layer, voxels.resolution_of(voxel_layer, p.get("resolution")), p["occupancy_threshold"])
     return _outputs(m, parts, {k: p.get(f"output_layer_{k}_objects") for k in ("static", "dynamic")})
 
 
@@ -73,7 +87,7 @@ def _adjust_timestamps(m: PointMap, p: dict) -> PointMap:
     if "t" not in m.layer(name).columns and p.get("silently_ignore_no_timestamps"):
         return m
     method = _TIME_METHODS[p["method"].rpartition("::")[2]]
-    return m.with_layer(name, predicates.adjust_timestamps(m.layer(name), method, p.get("time_offset", 0.0)), append=False)
+    return m.with_layer(name, predicates.adjust_timestamps(m.layer(name), method, p.get("time_offset", 0.0), scope(m.layer(name))), append=False)
 
 
 @registered(FILTERS, "FilterNormalizeIntensity")
@@ -81,12 +95,12 @@ def _normalize_intensity(m: PointMap, p: dict) -> PointMap:
     name, most = p["pointcloud_layer"], p.get("fixed_maximum_intensity", 0)
     fixed = (p.get("fixed_minimum_intensity", 0), most) if most > 0 else None
     remember = "kf_id" if p.get("remember_intensity_range") else None
-    return m.with_layer(name, predicates.normalize_intensity(m.layer(name), fixed, remember), append=False)
+    return m.with_layer(name, predicates.normalize_intensity(m.layer(name), fixed, remember, scope(m.layer(name))), append=False)
 
 
 @registered(FILTERS, "FilterDeskew")
 def _deskew(m: PointMap, p: dict) -> PointMap:
-    out = predicates.deskew(m.layer(p["input_pointcloud_layer"]), tuple(float(v) for v in p.get("twist", [0.0] * 6)), p.get("silently_ignore_no_timestamps", False), p.get("skip_deskew", False))
+    out = predicates.deskew(m.layer(p["input_pointcloud_layer"]), tuple(v if isinstance(v, Column) else float(v) for v in p.get("twist", [0.0] * 6)), p.get("silently_ignore_no_timestamps", False), p.get("skip_deskew", False))
     return m.with_layer(p["output_pointcloud_layer"], out)
 
 
@@ -107,9 +121,12 @@ def _decimate(m: PointMap, p: dict) -> PointMap:
     if len(layers) > 1:
         if method != "first":
             raise ValueError("several layers go with the first point only")
+        if p.get("flatten_to") is not None:
+            raise ValueError("several layers can't be flattened")
+        scope(layers[0], supported=False)
         out = voxels.first_of_layers(layers, p["voxel_filter_resolution"])
     else:
-        out = voxels.decimated(layers[0], p["voxel_filter_resolution"], method, flatten_to=p.get("flatten_to"), minimum_points=int(p.get("minimum_input_points_to_filter", 0)))
+        out = voxels.decimated(layers[0], p["voxel_filter_resolution"], method, flatten_to=p.get("flatten_to"), minimum_points=int(p.get("minimum_input_points_to_filter", 0)), by=scope(layers[0]))
     return m.with_layer(p["output_pointcloud_layer"], out.drop(*voxels.CELL, "n"))
 
 
@@ -118,7 +135,8 @@ def _decimate_quadratic(m: PointMap, p: dict) -> PointMap:
     flags = {"mean": p.get("use_voxel_average"), "closest": p.get("use_closest_to_voxel_average"), "random": p.get("use_random_point_within_voxel")}
     method = next((k for k, v in flags.items() if v), "first")
     key = voxels.quadratic_key(p["quadratic_reference_radius"])
-    out = voxels.decimated(m.layer(p.get("input_pointcloud_layer", "raw")), p["voxel_filter_resolution"], method, key)
+    layer = m.layer(p.get("input_pointcloud_layer", "raw"))
+    out = voxels.decimated(layer, p["voxel_filter_resolution"], method, key, by=scope(layer))
     return m.with_layer(p["output_pointcloud_layer"], out.drop(*voxels.CELL, "n"))
 
 
@@ -126,6 +144,7 @@ def _decimate_quadratic(m: PointMap, p: dict) -> PointMap:
 def _decimate_adaptive(m: PointMap, p: dict) -> PointMap:
     if not p.get("enabled", True):
         return m
+    scope(m.layer(p.get("input_pointcloud_layer", "raw")), supported=False)
     out = voxels.adaptive(
         m.layer(p.get("input_pointcloud_layer", "raw")),
         int(p["desired_output_point_count"]),
@@ -139,7 +158,8 @@ def _decimate_adaptive(m: PointMap, p: dict) -> PointMap:
 @registered(FILTERS, "FilterEdgesPlanes")
 def _edges_planes(m: PointMap, p: dict) -> PointMap:
     parts = voxels.edges_planes(
-        m.layer(p.get("input_pointcloud_layer", "raw")), p["voxel_filter_resolution"], int(p["voxel_filter_decimation"]), int(p["full_pointcloud_decimation"]), p["voxel_filter_max_e2_e0"], p["voxel_filter_min_e2_e0"], p.get("voxel_filter_min_e1", 0.0)
+        m.layer(p.get("input_pointcloud_layer", "raw")), p["voxel_filter_resolution"], int(p["voxel_filter_decimation"]), int(p["full_pointcloud_decimation"]), p["voxel_filter_max_e2_e0"], p["voxel_filter_min_e2_e0"], p.get("voxel_filter_min_e1", 0.0),
+        p["voxel_filter_max_e1_e0"], p["voxel_filter_min_e1_e0"], scope(m.layer(p.get("input_pointcloud_layer", "raw"))),
     )
     for name in ("edge_points", "plane_points", "full_decim", "plane_centroids"):
         m = m.with_layer(name, parts[name], append=False)
@@ -148,6 +168,7 @@ def _edges_planes(m: PointMap, p: dict) -> PointMap:
 
 @registered(FILTERS, "FilterPoleDetector")
 def _poles(m: PointMap, p: dict) -> PointMap:
+    scope(m.layer(p["input_pointcloud_layer"]), supported=False)
     parts = voxels.by_pole(m.layer(p["input_pointcloud_layer"]), p["grid_size"], p["minimum_relative_height"], p["maximum_relative_height"], int(p.get("minimum_pole_points", 5)), int(p.get("minimum_neighbors_checks_to_pass", 3)))
     return _outputs(m, parts, {k: p.get(f"output_layer_{k}") for k in ("poles", "no_poles")})
 
@@ -156,7 +177,7 @@ def _poles(m: PointMap, p: dict) -> PointMap:
 def _slice(m: PointMap, p: dict) -> PointMap:
     if p["slice_z_max"] < p["slice_z_min"]:
         raise ValueError("the slice's upper end lies below its lower one")
-    return m.with_layer(p["output_layer"], voxels.voxel_slice(m.layer(p["input_layer"]), p.get("resolution", 1.0), p["slice_z_min"], p["slice_z_max"]), append=False)
+    return m.with_layer(p["output_layer"], voxels.voxel_slice(m.layer(p["input_layer"]), voxels.resolution_of(m.layer(p["input_layer"]), p.get("resolution")), p["slice_z_min"], p["slice_z_max"]), append=False)
 
 
 @registered(FILTERS, "FilterCurvature")
@@ -174,8 +195,9 @@ def _merge(m: PointMap, p: dict) -> PointMap:
     there = predicates.moved(points, pose) if p.get("input_layer_in_local_coordinates") else points
     m.layer(p["target_layer"])
     if "log_odds" in m.layer(p["target_layer"]).columns:  # a voxel map: its log-odds and the new hits' add up
-        both = m.layer(p["target_layer"]).select(*voxels.CELL, "log_odds").unionByName(voxels.occupancy(there, p.get("resolution", 1.0)).select(*voxels.CELL, "log_odds"))
-        return m.with_layer(p["target_layer"], both.groupBy(*voxels.CELL).agg(F.sum("log_odds").alias("log_odds")).withColumn("occupancy", 1 / (1 + F.exp(-F.col("log_odds")))), append=False)
+        target = m.layer(p["target_layer"])
+        new = voxels.occupancy(there, voxels.resolution_of(target, p.get("resolution")))
+        return m.with_layer(p["target_layer"], voxels.merged(target.withColumn("resolution", F.lit(voxels.resolution_of(target, p.get("resolution")))), new), append=False)
     return m.with_layer(p["target_layer"], there)
 
 
@@ -185,12 +207,28 @@ def _delete(m: PointMap, p: dict) -> PointMap:
     return m.without(*(names if isinstance(names, list) else [names]), missing_ok=not p.get("error_on_missing_input_layer", True))
 
 
+#: Seconds that the driver spent on planning, by filter, and its number of runs.
+PROFILE: dict[str, tuple[float, int]] = {}
+
+
+def _timed(name: str, step: Filter) -> Filter:
+    def run(m: PointMap) -> PointMap:
+        began = time.perf_counter()
+        try:
+            return step(m)
+        finally:
+            spent, n = PROFILE.get(name, (0.0, 0))
+            PROFILE[name] = (spent + time.perf_counter() - began, n + 1)
+
+    return run
+
+
 def filters(entries: list[dict] | None, variables: Mapping[str, float] | None = None) -> list[Filter]:
     """The filters of a list of entries; expressions in parameters get their values now."""
     out: list[Filter] = []
     for e in entries or []:
         f, params = lookup(FILTERS, e)
-        out.append(lambda m, f=f, params=realised(params, variables): f(m, params))
+        out.append(_timed(e.get("class_name") or e.get("class"), lambda m, f=f, params=realised(params, variables, VARIABLES): f(m, params)))
     return out
 
 

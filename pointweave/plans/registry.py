@@ -9,6 +9,7 @@ FILTERS: dict[str, Callable] = {}
 MATCHERS: dict[str, Callable] = {}
 SOLVERS: dict[str, Callable] = {}
 EVALUATORS: dict[str, Callable] = {}
+GENERATORS: dict[str, Callable] = {}
 
 
 def registered(kind: dict[str, Callable], name: str) -> Callable[[Callable], Callable]:

@@ -9,22 +9,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointweave.operators.predicates import voxel_centres
+from pointweave.operators.voxels import resolution_of
 from pointweave.pointmap import GeoReference, PointMap
 
 #: Columns of the text formats.
 FORMATS = {"xyz": ("x", "y", "z"), "xyzi": ("x", "y", "z", "intensity"), "xyzirt": ("x", "y", "z", "intensity", "ring", "t"), "xyzrgb": ("x", "y", "z", "r", "g", "b"), "xyzrgb_normalized": ("x", "y", "z", "r", "g", "b")}
 
 
+#: Columns that a line must have at least.
+LEAST = {"xyz": 3, "xyzi": 4, "xyzirt": 6, "xyzrgb": 6, "xyzrgb_normalized": 6}
+
+
 def read_text(spark: SparkSession, path: str, kind: str = "xyz", columns: dict[str, int] | None = None) -> DataFrame:
     """Points from lines of numbers parted by blanks, tabs or commas; ``.gz`` files are inflated.
 
     ``columns`` gives other places (from 0) for some names.  Colours count to
-    255 unless normalized.  ``point_id`` follows the order of lines.
+    255 unless normalized.  ``point_id`` follows the order of lines.  A line
+    with too few columns is an error when it is read.
     """
     names = FORMATS[kind]
     at = {n: (columns or {}).get(n, i) for i, n in enumerate(names)}
     parts = F.split(F.trim("value"), r"[ ,\t]+")
     rows = spark.read.text(path).withColumn("point_id", F.monotonically_increasing_id()).where(F.trim("value") != "")
+    least = max(at.values()) + 1 if columns else LEAST[kind]
+    short = F.raise_error(F.concat(F.lit(f"fewer than {least} columns: "), "value"))
+    parts = F.when(F.size(parts) >= least, parts).otherwise(short.cast("array<string>"))
     out = rows.select("point_id", *[F.get(parts, F.lit(i)).cast("int" if n == "ring" else "double").alias(n) for n, i in at.items()])
     return out.withColumns({c: F.col(c) / 255 for c in "rgb"}) if kind == "xyzrgb" else out
 
@@ -43,7 +53,17 @@ def read_kitti(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_text(df: DataFrame, path: str) -> None:
-    """A line for each point, its channels parted by blanks, in order of ``point_id`` within files."""
+    """A line for each point, its channels parted by blanks, in order of ``point_id`` within files.
+
+    Of a layer of voxels the centres of the occupied ones are written; other
+    tables can't be.
+    """
+    if "occupancy" in df.columns:
+        centres = voxel_centres(df, resolution_of(df))
+        centres.select("x", "y", "z").write.mode("overwrite").csv(path, sep=" ")
+        return
+    if not {"x", "y", "z"} <= set(df.columns):
+        raise ValueError(f"not a layer of points: {df.columns}")
     names = [c for c in ("x", "y", "z", "intensity", "ring", "t") if c in df.columns]
     df.sortWithinPartitions("point_id").select(*names).write.mode("overwrite").csv(path, sep=" ")
 
@@ -113,8 +133,16 @@ def georeference_from_yaml(text: str) -> GeoReference | None:
 
 def open_cloud(spark: SparkSession, name: str) -> DataFrame | PointMap:
     """A cloud or map by its file name."""
-    if name.endswith((".txt", ".xyz", ".csv", ".gz")):
+    if name.endswith(".icplog") or ".icplog:" in name:  # one side of a registration's log, the local one by default
+        path, _, side = name.partition(".icplog:")
+        return load_map(spark, f"{path if side else name}{'.icplog' if side else ''}/{side or 'local'}")
+    if name.endswith((".txt", ".xyz", ".txt.gz", ".xyz.gz", ".csv", ".csv.gz")):
         return read_text(spark, name)
     if name.endswith(".bin"):
         return read_kitti(spark, name)
     return load_map(spark, name)
+
+
+def write_twists(twists: DataFrame, path: str) -> None:
+    """Lines ``t vx vy vz wx wy wz`` in order of time."""
+    twists.repartitionByRange("t").sortWithinPartitions("t").select("t", "vx", "vy", "vz", "wx", "wy", "wz").write.mode("overwrite").csv(path, sep=" ")
