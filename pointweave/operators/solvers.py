@@ -164,6 +164,58 @@ def normal_equations(pairs: dict[str, DataFrame], pose: Pose, weights: dict[str,
     return total, h + np.triu(h, 1).T, b, cost
 
 
+def quadratic_sums(pairs: DataFrame, kind: str) -> tuple[int, np.ndarray, np.ndarray, float]:
+    """Number of pairs and the cost as a quadratic form of the pose's twelve numbers (R | t), row by row.
+
+    The cost is x A x - 2 b x + c; A, b and c don't depend on the pose, so one
+    aggregate serves all steps of a solver without a robust kernel.
+    """
+    zero, one = F.lit(0.0), F.lit(1.0)
+    if kind == "pl2pl":
+        v, target, q = [*[F.col(f"ln{a}") for a in "xyz"], None], [F.col(f"gn{a}") for a in "xyz"], None
+    else:
+        v = [*[F.col(f"l{a}") for a in "xyz"], one]
+        if kind == "pt2pt":
+            target, q = [F.col(f"g{a}") for a in "xyz"], None
+        elif kind == "pt2ln":
+            u = [F.col(f"u{a}") for a in "xyz"]
+            target, q = [F.col(f"b{a}") for a in "xyz"], [[F.lit(float(i == j)) - u[i] * u[j] for j in range(3)] for i in range(3)]
+        elif kind == "pt2pl":
+            n = [F.col(f"n{a}") for a in "xyz"]
+            nn = g.squared_norm(*n)
+            target, q = [-F.col("d") * x / nn for x in n], [[n[i] * n[j] / nn for j in range(3)] for i in range(3)]
+        else:
+            raise ValueError(f"no such kind of pair: {kind}")
+    w = F.col("weight") if "weight" in pairs.columns else one
+    aims = target if q is None else [sum((q[i][k] * target[k] for k in range(3)), zero) for i in range(3)]  # q times the target
+    have = [m for m in range(4) if v[m] is not None]
+    terms = {"c": w * sum((aims[i] * target[i] for i in range(3)), zero)} | {f"b{i}{m}": w * aims[i] * v[m] for i in range(3) for m in have}
+    parts = [(0, 0)] if q is None else [(i, k) for i in range(3) for k in range(i, 3)]
+    terms |= {f"a{i}{k}{m}{n}": w * (one if q is None else q[i][k]) * v[m] * v[n] for i, k in parts for m in have for n in have if m <= n}
+    r = pairs.agg(F.count("*").alias("n"), *[F.sum(x).alias(k) for k, x in terms.items()]).first()
+    a, b = np.zeros((12, 12)), np.zeros(12)
+    if not r["n"]:
+        return 0, a, b, 0.0
+    for i, k in parts if q is not None else [(0, 0), (1, 1), (2, 2)]:
+        for m in have:
+            for n in have:
+                value = r[f"a{i}{k}{min(m, n)}{max(m, n)}"] if q is not None else r[f"a00{min(m, n)}{max(m, n)}"]
+                a[4 * i + m, 4 * k + n] = a[4 * k + m, 4 * i + n] = value
+    for i in range(3):
+        for m in have:
+            b[4 * i + m] = r[f"b{i}{m}"]
+    return r["n"], a, b, r["c"]
+
+
+def _directions(pose: Pose) -> np.ndarray:
+    """Derivatives of the pose's twelve numbers by (translation, rotation) on its right, as columns."""
+    out = np.zeros((3, 4, 6))
+    for k in range(3):
+        out[:, 3, k] = pose.rotation[:, k]
+        out[:, :3, 3 + k] = pose.rotation @ skew(np.eye(3)[k])
+    return out.reshape(12, 6)
+
+
 @dataclass
 class Solution:
     pose: Pose
@@ -174,29 +226,49 @@ class Solution:
 def gauss_newton(
     pairs: dict[str, DataFrame], start: Pose, iterations: int = 6, weights: dict[str, float] | None = None, kernel: str = "None", c: float = 1.0, prior: tuple[Pose, np.ndarray] | None = None, max_cost: float = 0.0
 ) -> Solution | None:
-    """Minimises all residuals, and the distance from a prior pose with its information matrix."""
+    """Minimises all residuals, and the distance from a prior pose with its information matrix.
+
+    Without a kernel there is one aggregate for each kind of pair, with one
+    there is one in each step.
+    """
     pose, cost, k = start, 0.0, 0
+    form = _whole_form(pairs, weights) if kernel == "None" else None
     for k in range(1, iterations + 1):
-        n, h, b, cost = normal_equations(pairs, pose, weights, kernel, c)
+        if form is not None:
+            n, a, b, rest = form
+            x, j = np.concatenate([pose.rotation, pose.translation[:, None]], axis=1).ravel(), _directions(pose)
+            h, grad, cost = j.T @ a @ j, j.T @ (a @ x - b), x @ a @ x - 2 * b @ x + rest
+        else:
+            n, h, grad, cost = normal_equations(pairs, pose, weights, kernel, c)
         if not n and prior is None:
             return None
         if prior is not None:
             d = se3_log(prior[0].inverse() @ pose)
-            h, b = h + prior[1], b + prior[1] @ d
-        step = -np.linalg.lstsq(h, b, rcond=None)[0]
+            h, grad = h + prior[1], grad + prior[1] @ d
+        step = -np.linalg.lstsq(h, grad, rcond=None)[0]
         pose = pose.retract(step)
         if np.linalg.norm(step) < 1e-7 or cost <= max_cost:
             break
-    return Solution(pose, k, cost)
+    return Solution(pose, k, float(cost))
+
+
+def _whole_form(pairs: dict[str, DataFrame], weights: dict[str, float] | None = None) -> tuple[int, np.ndarray, np.ndarray, float]:
+    total, a, b, c = 0, np.zeros((12, 12)), np.zeros(12), 0.0
+    for kind, frame in pairs.items():
+        if frame is not None:
+            n, own_a, own_b, own_c = quadratic_sums(frame, kind)
+            w = (weights or {}).get(kind, 1.0)
+            total, a, b, c = total + n, a + w * own_a, b + w * own_b, c + w * own_c
+    return total, a, b, c
 
 
 def covariance(pairs: dict[str, DataFrame], pose: Pose) -> np.ndarray:
     """Of (x, y, z, yaw, pitch, roll), the inverse of JT J; very large without pairs."""
-    n, h, _, _ = normal_equations(pairs, pose)
+    n, a, _, _ = _whole_form(pairs)
     if not n:
         return 1e6 * np.eye(6)
-    j = ypr_jacobian(pose)
-    return j @ np.linalg.pinv(h) @ j.T
+    d, j = _directions(pose), ypr_jacobian(pose)
+    return j @ np.linalg.pinv(d.T @ a @ d) @ j.T
 
 
 def to_point_pairs(pose: Pose, lines: DataFrame | None, planes: DataFrame | None) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pointweave import cli
 from pointweave.functions import geometry as g
 from pointweave.functions.se3 import Pose, se3_log
-from pointweave.operators import keyframes, neighbours, predicates, voxels
+from pointweave.operators import keyframes, neighbours, predicates, solvers, voxels
 from pointweave.plans import icp, mapbuilder, pipeline, registration
 from pointweave.pointmap import GeoReference, PointMap
 from pointweave.sources import files
@@ -169,3 +169,17 @@ def test_erf_and_colours(spark):
     xs = [(-3.0,), (-0.4,), (0.0,), (1e-3,), (0.7,), (5.0,)]
     rows = spark.createDataFrame(xs, "v double").select("v", g.erf(F.col("v")).alias("e"), F.struct(*g.recolored(F.col("v"), F.lit(-3.0), F.lit(5.0))).alias("c")).collect()
     assert all(abs(r["e"] - math.erf(r["v"])) < 2e-7 for r in rows) and tuple(rows[0]["c"]) == (0.0, 0.0, 1.0) and tuple(rows[-1]["c"]) == (1.0, 0.0, 0.0)
+
+
+def test_quadratic_form_equals_the_normal_equations(spark):
+    r = np.random.default_rng(6)
+    names = [f"{k}{a}" for k in ("l", "g", "u", "b", "n", "ln", "gn") for a in "xyz"]
+    m = r.normal(size=(40, len(names)))
+    m[:, 6:9] /= np.linalg.norm(m[:, 6:9], axis=1)[:, None]
+    pairs = spark.createDataFrame([(*map(float, x), float(i % 3 + 1), float(x[0])) for i, x in enumerate(m)], [*names, "weight", "d"])
+    pose = Pose.of(0.3, -0.2, 0.5, 0.7, -0.1, 0.4)
+    x, j = np.concatenate([pose.rotation, pose.translation[:, None]], axis=1).ravel(), solvers._directions(pose)
+    for kind in solvers.KINDS:
+        n, h, grad, cost = solvers.normal_equations({kind: pairs}, pose)
+        count, a, b, c = solvers.quadratic_sums(pairs, kind)
+        assert count == n == 40 and np.allclose(j.T @ a @ j, h) and np.allclose(j.T @ (a @ x - b), grad) and np.isclose(x @ a @ x - 2 * b @ x + c, cost)
