@@ -14,6 +14,7 @@ import functools
 import hashlib
 import itertools
 import re
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -410,15 +411,35 @@ def mask_spans(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
+def _slices(texts: list[str | None], rows: int = 256) -> Iterator[int]:
+    """Numbers of texts that are read together: at most ``rows``, and at most about ``SLICE_BYTES`` characters."""
+    n = size = 0
+    for t in texts:
+        if n and (n >= rows or size + len(t or "") > common.SLICE_BYTES):
+            yield n
+            n = size = 0
+        n, size = n + 1, size + len(t or "")
+    if n:
+        yield n
+
+
 def masked(df: DataFrame, model: CRF | None = None) -> DataFrame:
-    """``df`` with the spans in ``text`` masked and ``n_chars``, if there, brought up to date; nulls stay null."""
+    """``df`` with the spans in ``text`` masked and ``n_chars``, if there, brought up to date.
+
+    Nulls stay null and empty texts empty; repeated rows are masked row by row;
+    an empty table stays empty; other columns are kept.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model or default_model())
 
     @F.pandas_udf("string")
     def mask(text):
-        own = text.tolist()
-        found = find([t or "" for t in own], shared.value)
-        return type(text)([None if t is None else mask_spans(t, spans) for t, (_, spans) in zip(own, found, strict=True)], dtype=object)
+        own, out, at = text.tolist(), [], 0
+        for n in _slices(own):  # an Arrow batch may hold ten thousand texts
+            part = own[at : at + n]
+            found = find([t or "" for t in part], shared.value)
+            out += [None if t is None else mask_spans(t, spans) for t, (_, spans) in zip(part, found, strict=True)]
+            at += n
+        return type(text)(out, dtype=object)
 
     out = df.withColumn("text", mask("text"))
     return out.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType)) if "n_chars" in df.columns else out

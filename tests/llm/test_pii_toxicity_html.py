@@ -173,3 +173,8 @@ def test_pieces_give_the_whole_path(monkeypatch):
         monkeypatch.setattr(pii, "WARM", warm)
         got = model.viterbi(chains)
         assert [x.tolist() for x in got] == [x.tolist() for x in want]
+
+
+def test_slices_of_texts(monkeypatch):
+    monkeypatch.setattr(pii.common, "SLICE_BYTES", 10)
+    assert list(pii._slices(["a" * 4, None, "b" * 6, "c", "d" * 50, ""])) == [3, 1, 1, 1] and list(pii._slices([])) == [] and list(pii._slices(["x"] * 5, 2)) == [2, 2, 1]
