@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 
 #: Words whose hashes a worker keeps, and the length up to which it keeps one.
-MOST_KEPT, LONGEST_KEPT = 400_000, 64
+MOST_KEPT, LONGEST_KEPT = 150_000, 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -116,7 +116,7 @@ _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 #: Tokens of a piece of a chain, and positions before it that tell its first scores, at first.
 PIECE, WARM = 512, 32
 #: Tokens whose shapes a worker keeps.
-MOST_KEPT = 200_000
+MOST_KEPT = 50_000
 #: Characters that what is tagged can have at most, by its kind.
 LONGEST = {"email": 320, "ip": 64, "card": 64, "phone": 64, "secret": 4096}
 #: Words that are features as such.
