@@ -21,8 +21,8 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     """A fresh path in the folder that driver and executors share.
 
     The folder is the session's ``spark.checkpoint.dir``.  Only where that is
-    unset (single-machine runs and tests) a folder under the warehouse serves,
-    which Spark shares between driver and executors as well.
+    unset (single-machine runs and tests) a folder under the warehouse serves;
+    a cluster must set it, unless its warehouse lies in a shared store.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
