@@ -69,4 +69,29 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_mixing, op3_main_text, op4_repeated_substrings, op5_token_shards, op6_personal_data, op7_toxicity, op8_quality_rules, op9_near_duplicates, op10_fingerprints)}
-ORACLE_SQL: dict[str, str] = {}
+#: All pairs that share a shingle and the closure of their links: for small tables only.
+NEAR_DUPLICATES_SQL = r"""with recursive words as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+    from documents
+), sets as (
+    select doc_id, list_distinct(case when len(w) = 0 then cast([] as varchar[])
+        when len(w) < 3 then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as s
+    from words
+), shingles as (
+    select doc_id, len(s) as n, unnest(s) as shingle from sets
+), links as (
+    select a.doc_id as a, b.doc_id as b
+    from shingles a join shingles b on a.shingle = b.shingle and a.doc_id <> b.doc_id
+    group by a.doc_id, b.doc_id, a.n, b.n
+    having 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reached(doc_id, other) as (
+    select doc_id, doc_id from documents
+    union
+    select r.doc_id, l.b from reached r join links l on r.other = l.a
+)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, r.component_id, s.doc_id = r.component_id as kept
+from sets s join (select doc_id, min(other) as component_id from reached group by doc_id) r on s.doc_id = r.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op9_near_duplicates": NEAR_DUPLICATES_SQL}

@@ -53,3 +53,15 @@ def test_counts_and_base_spans(spark):
         own = brute_spans(docs[r["doc_id"]])
         assert [r[f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [sum(s[2] == k for s in own) for k in ("email", "ip", "card", "phone")]
         assert all(f"{k}:{a}:{b}" in r["spans"] for a, b, k in own)
+
+
+def test_sql(spark):
+    d = "/root/testdata/sf0.01"
+    for name, sql in queries.ORACLE_SQL.items():
+        con = duckdb.connect()
+        con.execute(f"create view documents as select * from '{d}/documents.parquet'")
+        want = con.execute(sql)
+        columns = [c[0] for c in want.description]
+        got = queries.QUERIES[name](spark, d)
+        assert set(got.columns) == set(columns)
+        assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want.fetchall())
