@@ -94,4 +94,33 @@ select s.doc_id, cast(len(s.s) as bigint) as n_shingles, r.component_id, s.doc_i
 from sets s join (select doc_id, min(other) as component_id from reached group by doc_id) r on s.doc_id = r.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op9_near_duplicates": NEAR_DUPLICATES_SQL}
+#: Every string of 100 bytes in hexadecimal digits, cut from blocks of 512 starts: for small tables only.
+REPEATED_SUBSTRINGS_SQL = r"""with texts as (
+    select doc_id, hex(encode(coalesce(text, ''))) as x, strlen(coalesce(text, '')) as n from documents
+), blocks as (
+    select doc_id, n, first, substr(x, 2 * first + 1, 2 * (512 + 99)) as y
+    from (select doc_id, x, n, unnest(range(0, n - 99, 512)) as first from texts where n >= 100)
+), strings as (
+    select doc_id, first + i as pos, substr(y, 2 * i + 1, 200) as s
+    from (select doc_id, first, y, unnest(range(0, least(512, n - 99 - first))) as i from blocks)
+), later as (
+    select doc_id, pos, row_number() over (partition by s order by doc_id, pos) > 1 as again from strings
+), repeats as (
+    select doc_id, pos, lag(pos) over (partition by doc_id order by pos) as before from later where again
+), numbered as (
+    select doc_id, pos, sum(case when before is null or pos > before + 100 then 1 else 0 end) over (partition by doc_id order by pos) as run from repeats
+), spans as (
+    select doc_id, run, min(pos) as b, max(pos) + 100 as e from numbered group by doc_id, run
+), gaps as (
+    select doc_id, run, b, e, lag(e, 1, 0) over (partition by doc_id order by b) as since from spans
+), pieces as (
+    select g.doc_id, sum(e - b) as n_removed, count(*) as n_spans, max(e) as last,
+        string_agg(substr(t.x, 2 * since + 1, 2 * (b - since)), '' order by b) as kept
+    from gaps g join texts t on g.doc_id = t.doc_id group by g.doc_id
+)
+select t.doc_id, cast(t.n as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans,
+    sha256(unhex(coalesce(kept, '') || substr(t.x, 2 * coalesce(last, 0) + 1))) as kept_sha256
+from texts t left join pieces p on t.doc_id = p.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_repeated_substrings": REPEATED_SUBSTRINGS_SQL, "op9_near_duplicates": NEAR_DUPLICATES_SQL}
