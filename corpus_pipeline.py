@@ -41,9 +41,11 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document that is left, with its place in the mixture, ``mix_position``.
 
     A file scan need not return rows in the order of the files, so the place
-    is worked out once more from the rows, on which alone it depends.
+    is worked out once more from the rows, on which alone it depends.  It is
+    stored before the texts are encoded: both in one stage would need two
+    Python workers for each task.
     """
-    placed = mixing.mixed(docs).select("doc_id", "text", "mix_position")
+    placed = common.stored(mixing.mixed(docs).select("doc_id", "text", "mix_position"), "pipeline-placed")
     return bpe.encode(placed, keep=("mix_position",)).drop("decoded")
 
 

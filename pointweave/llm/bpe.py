@@ -112,6 +112,9 @@ def encoder(path: str, pattern: str) -> ByteBPE:
     return ByteBPE(path, pattern)
 
 
+common.keeps("bpe", encoder.cache_clear)
+
+
 def default_vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
@@ -132,6 +135,7 @@ def encode(df: DataFrame, path: str | None = None, pattern: str | None = None, w
     path, pattern = path or default[0], pattern or default[1]
 
     def digest(batch) -> dict[str, list]:
+        common.turn("bpe")
         bpe, strings = encoder(path, pattern), id_strings()
         out: dict[str, list] = {k: [] for k in ("doc_id", "ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256")}
         out["doc_id"] = batch.column("doc_id")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -74,6 +77,34 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], dict[str, list]], s
     return df.mapInArrow(run, schema)
 
 
+#: How to empty each operator's caches in a Python worker, and the operator that has the worker now.
+_CACHES: dict[str, Callable[[], object]] = {}
+_TURN = [""]
+
+
+def keeps(operator: str, empty: Callable[[], object]) -> None:
+    """``operator`` has caches in a worker that ``empty`` gives up."""
+    _CACHES[operator] = empty
+
+
+def turn(operator: str) -> None:
+    """This worker now serves ``operator``; what others have cached is given back to the system.
+
+    Spark hands the same workers from stage to stage, so without this each
+    would end up with the caches of every stage before.
+    """
+    if _TURN[0] == operator:
+        return
+    _TURN[0] = operator
+    for other, empty in _CACHES.items():
+        if other != operator:
+            empty()
+    gc.collect()  # an encoder and its caches hold each other
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: Bytes of text in a slice.
 SLICE_BYTES = 1 << 21
 

@@ -47,6 +47,11 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+def forget() -> None:
+    """Give up the words kept."""
+    _WORDS.clear()
+
+
 def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
     """For each text the hashes of its words, which are runs without ASCII white space.
 

@@ -29,6 +29,7 @@ AGREEING = 10
 #: Shingles that the sets of one block of a comparison have together, more or less; one long set may be more.
 BLOCK_SHINGLES = 1 << 19
 _STEPS = np.uint64(0x9E3779B97F4A7C15)
+common.keeps("minhash", hashing.forget)
 
 
 def band_count(percent: int) -> int:
@@ -174,6 +175,7 @@ def components(df: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     count = band_count(percent)
 
     def summary(batch) -> dict[str, list]:
+        common.turn("minhash")
         sets = _sets(batch.column("text").to_pylist(), size)
         keys = [band_keys(super_min_hash(x), count) if len(x) else [] for x in sets]
         return {"doc_id": batch.column("doc_id"), "n_shingles": [len(x) for x in sets], "digest": [_digest(x) for x in sets], "key": keys}
@@ -230,6 +232,7 @@ def verified(rows: DataFrame, met: DataFrame, size: int, percent: int) -> DataFr
     wanted = met.select("id").distinct()
 
     def sets(batch) -> dict[str, list]:
+        common.turn("minhash")
         own = _sets(batch.column("text").to_pylist(), size)
         return {"id": batch.column("id"), "own": [s.tobytes() for s in own]}
 

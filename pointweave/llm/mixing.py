@@ -149,6 +149,7 @@ def mixed(df: DataFrame, shares: dict[str | None, float] | None = None, temperat
 
     @F.pandas_udf("bigint")
     def slot(source, block):
+        common.turn("mixing")
         out = np.zeros(len(source), np.int64)
         for s, places in source.groupby(source).indices.items():
             out[places] = shared.value.slots(s, block.to_numpy()[places])

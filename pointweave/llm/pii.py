@@ -315,6 +315,7 @@ class _Shapes(dict):
 
 
 _SHAPES = _Shapes()
+common.keeps("pii", _SHAPES.clear)
 
 
 def chain(text: str) -> np.ndarray:
@@ -393,6 +394,7 @@ def tag(df: DataFrame, model: CRF | None = None) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(model or default_model())
 
     def tagged(batch) -> dict[str, list]:
+        common.turn("pii")
         found = find([t or "" for t in batch.column("text").to_pylist()], shared.value)
         out = {f"n_{k}": [sum(s[2] == k for s in own) for own, _ in found] for k in KINDS}
         return out | {"doc_id": batch.column("doc_id"), "base_sha256": [hashlib.sha256(written(own).encode()).hexdigest() for own, _ in found], "spans": [written(spans) for _, spans in found]}
@@ -433,6 +435,7 @@ def masked(df: DataFrame, model: CRF | None = None) -> DataFrame:
 
     @F.pandas_udf("string")
     def mask(text):
+        common.turn("pii")
         own, out, at = text.tolist(), [], 0
         for n in _slices(own):  # an Arrow batch may hold ten thousand texts
             part = own[at : at + n]

@@ -82,6 +82,7 @@ class Model:
 
 
 _AUTOMATA: dict[int, object] = {}
+common.keeps("toxicity", _AUTOMATA.clear)
 
 
 def automaton(model: Model):
@@ -226,6 +227,7 @@ def score(documents: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
 
     @F.pandas_udf("double")
     def scored(text):
+        common.turn("toxicity")
         m = broadcast.value
         return text.map(lambda t: m.score(t or ""), na_action=None).astype(float)
 
