@@ -159,7 +159,7 @@ def _decimate_adaptive(m: PointMap, p: dict) -> PointMap:
 def _edges_planes(m: PointMap, p: dict) -> PointMap:
     parts = voxels.edges_planes(
         m.layer(p.get("input_pointcloud_layer", "raw")), p["voxel_filter_resolution"], int(p["voxel_filter_decimation"]), int(p["full_pointcloud_decimation"]), p["voxel_filter_max_e2_e0"], p["voxel_filter_min_e2_e0"], p.get("voxel_filter_min_e1", 0.0),
-        p["voxel_filter_max_e1_e0"], p["voxel_filter_min_e1_e0"], scope(m.layer(p.get("input_pointcloud_layer", "raw"))),
+        p.get("voxel_filter_max_e1_e0"), p.get("voxel_filter_min_e1_e0"), scope(m.layer(p.get("input_pointcloud_layer", "raw"))),
     )
     for name in ("edge_points", "plane_points", "full_decim", "plane_centroids"):
         m = m.with_layer(name, parts[name], append=False)
