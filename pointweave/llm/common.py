@@ -109,7 +109,7 @@ def turn(operator: str) -> None:
 SLICE_BYTES = 1 << 21
 
 
-def slices(batch: pa.RecordBatch, rows: int) -> Iterator[tuple[int, int]]:
+def slices(batch: pa.RecordBatch, rows: int, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Starts and lengths of a batch's slices."""
     ends = np.zeros(batch.num_rows, np.int64)
     if "text" in batch.schema.names:
@@ -117,7 +117,7 @@ def slices(batch: pa.RecordBatch, rows: int) -> Iterator[tuple[int, int]]:
     at = 0
     while at < batch.num_rows:
         before = ends[at - 1] if at else 0
-        stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + SLICE_BYTES, side="right"))))
+        stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + most, side="right"))))
         yield at, stop - at
         at = stop
 

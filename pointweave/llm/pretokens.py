@@ -10,6 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: All characters that count as white space for Python or in a pattern's \s.
@@ -99,3 +102,46 @@ class PretokenEncoder:
         if None in found:
             found = [self.word[w] if x is None else x for w, x in zip(rest, found, strict=True)]
         return self._cut(first) + b"".join(found)
+
+    def encode_all(self, texts: pa.Array, apart: dict[int, bytes]) -> list[np.ndarray]:
+        """The ids of each of ``texts``, which holds no nulls; those in ``apart``, by place, are given.
+
+        Arrow cuts the texts and numbers their distinct words, so that a word
+        is looked up once however often it occurs; the ids are then put
+        together by these numbers.
+        """
+        if not len(texts):
+            return []
+        cut = pc.split_pattern(texts, " ")
+        found = cut.flatten().dictionary_encode()
+        words = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        firsts = np.cumsum([0, *pc.list_value_length(cut).to_numpy()[:-1]])
+        # what a text begins with has no space before it and so a number of its own
+        begin = pc.list_element(cut, 0).to_pylist()
+        number = found.indices.to_numpy().copy()
+        number[firsts] = len(words) + np.arange(len(begin))
+        # see ``words``: only before these can a cut be wrong
+        unsure = np.array([not w or w[0] in WHITE for w in words] + [False] * len(begin))
+        single = np.logical_or.reduceat(unsure[number], firsts)
+        single[list(apart)] = True
+
+        own = list(map(self._word_with_marks, words)) + list(map(self._cut, begin))
+        for i in np.flatnonzero(single).tolist():
+            own[len(words) + i] = apart[i] if i in apart else self.encode(texts[i].as_py())
+        n = np.fromiter(map(len, own), np.int64, len(own)) // 2
+        size = n[number]
+        if single.any():
+            rest = np.repeat(single, np.diff([*firsts, len(number)]))
+            rest[firsts] = False
+            size[rest] = 0
+        before = np.cumsum(size) - size
+        at = np.repeat((np.cumsum(n) - n)[number] - before, size)
+        at += np.arange(len(at))
+        return np.split(np.frombuffer(b"".join(own), "<u2")[at], before[firsts[1:]])
+
+    def _word_with_marks(self, w: str) -> bytes:
+        """As ``word``, but a word with marks after it is not kept itself: letters and marks are never one match."""
+        stem = w.rstrip(_MARKS)
+        if len(stem) < len(w) and stem[-1:].isalpha():
+            return self.word[stem] + self.bare[w[len(stem) :]]
+        return self.word[w]

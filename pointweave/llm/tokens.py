@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ from pointweave.llm.pretokens import PretokenEncoder
 TOKENIZER = "byte_bpe_50k.json"
 #: Ids after which a shard is closed (the last document stays whole).
 SHARD_IDS = 1_500_000
+#: Bytes of text whose words are looked up together.
+TEXT_BYTES = 1 << 23
 SHARD = "part int, shard int, n_ids bigint, doc_ids array<bigint>, payload binary"
 
 
@@ -67,7 +70,16 @@ class LibraryBPE:
     def encode(self, text: str) -> np.ndarray:
         if not any(t in text for t in self.added):
             return np.frombuffer(self.texts.encode(text), "<u2")
-        return np.frombuffer(b"".join(self.added.get(x) or self.texts.encode(x) for x in self.cut(text) if x), "<u2")
+        return np.frombuffer(self._apart(text), "<u2")
+
+    def _apart(self, text: str) -> bytes:
+        return b"".join(self.added.get(x) or self.texts.encode(x) for x in self.cut(text) if x)
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """As ``encode``, of many texts at once; null as empty."""
+        texts = texts.fill_null("")
+        apart = {i for t in self.added for i in pc.indices_nonzero(pc.match_substring(texts, t)).to_pylist()}
+        return self.texts.encode_all(texts, {i: self._apart(texts[i].as_py()) for i in apart})
 
 
 @functools.cache
@@ -103,13 +115,15 @@ def write(df: DataFrame, path: str, tokenizer: str | None = None, pattern: str |
             return pa.RecordBatch.from_pylist([{"part": part, "shard": shard, "n_ids": size, "doc_ids": names, "payload": rans.encode(docs)}], arrow)
 
         for batch in batches:
-            for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                docs.append(np.concatenate([bpe.encode(text.as_py() or ""), tail]))
-                names.append(name)
-                size += len(docs[-1])
-                if size >= SHARD_IDS:
-                    yield closed()
-                    names, docs, size, shard = [], [], 0, shard + 1
+            for at, n in common.slices(batch, batch.num_rows, TEXT_BYTES):
+                own = batch.slice(at, n)
+                for name, ids in zip(own.column("doc_id").to_pylist(), bpe.encode_all(own.column("text")), strict=True):
+                    docs.append(np.concatenate([ids, tail]))
+                    names.append(name)
+                    size += len(docs[-1])
+                    if size >= SHARD_IDS:
+                        yield closed()
+                        names, docs, size, shard = [], [], 0, shard + 1
         if names:
             yield closed()
 
