@@ -18,6 +18,8 @@ import regex
 #: All characters that count as white space for Python or in a pattern's \s.
 WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _AFTER_SPACE = tuple(" " + c for c in WHITE)
+#: The same, and a space at the end, for Arrow.
+_UNSURE = " (?:[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITE) + r"]|\z)"
 
 
 class _Cache(dict):
@@ -108,11 +110,15 @@ class PretokenEncoder:
 
         Arrow cuts the texts and numbers their distinct words, so that a word
         is looked up once however often it occurs; the ids are then put
-        together by these numbers.
+        together by these numbers.  Texts in which not every space is a cut
+        (see ``words``) are encoded one by one.
         """
         if not len(texts):
             return []
-        cut = pc.split_pattern(texts, " ")
+        unsure = pc.match_substring_regex(texts, _UNSURE).to_numpy(zero_copy_only=False)
+        apart = {i: self.encode(texts[i].as_py()) for i in np.flatnonzero(unsure).tolist() if i not in apart} | apart
+        unsure[list(apart)] = True
+        cut = pc.split_pattern(pc.if_else(pa.array(unsure), "", texts), " ")
         found = cut.flatten().dictionary_encode()
         words = found.dictionary.to_numpy(zero_copy_only=False).tolist()
         firsts = np.cumsum([0, *pc.list_value_length(cut).to_numpy()[:-1]])
@@ -120,20 +126,11 @@ class PretokenEncoder:
         begin = pc.list_element(cut, 0).to_pylist()
         number = found.indices.to_numpy().copy()
         number[firsts] = len(words) + np.arange(len(begin))
-        # see ``words``: only before these can a cut be wrong
-        unsure = np.array([not w or w[0] in WHITE for w in words] + [False] * len(begin))
-        single = np.logical_or.reduceat(unsure[number], firsts)
-        single[list(apart)] = True
-
-        own = list(map(self._word_with_marks, words)) + list(map(self._cut, begin))
-        for i in np.flatnonzero(single).tolist():
-            own[len(words) + i] = apart[i] if i in apart else self.encode(texts[i].as_py())
+
+        own = list(map(self._word_with_marks, words))
+        own += [apart[i] if i in apart else self._cut(t) for i, t in enumerate(begin)]
         n = np.fromiter(map(len, own), np.int64, len(own)) // 2
         size = n[number]
-        if single.any():
-            rest = np.repeat(single, np.diff([*firsts, len(number)]))
-            rest[firsts] = False
-            size[rest] = 0
         before = np.cumsum(size) - size
         at = np.repeat((np.cumsum(n) - n)[number] - before, size)
         at += np.arange(len(at))

@@ -70,16 +70,15 @@ class LibraryBPE:
     def encode(self, text: str) -> np.ndarray:
         if not any(t in text for t in self.added):
             return np.frombuffer(self.texts.encode(text), "<u2")
-        return np.frombuffer(self._apart(text), "<u2")
-
-    def _apart(self, text: str) -> bytes:
-        return b"".join(self.added.get(x) or self.texts.encode(x) for x in self.cut(text) if x)
+        return np.frombuffer(b"".join(self.added.get(x) or self.texts.encode(x) for x in self.cut(text) if x), "<u2")
 
     def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
-        """As ``encode``, of many texts at once; null as empty."""
+        """As ``encode``, of many texts at once; null as empty, and texts of over ``TEXT_BYTES`` by themselves, which takes less memory."""
         texts = texts.fill_null("")
-        apart = {i for t in self.added for i in pc.indices_nonzero(pc.match_substring(texts, t)).to_pylist()}
-        return self.texts.encode_all(texts, {i: self._apart(texts[i].as_py()) for i in apart})
+        apart = {*np.flatnonzero(pc.binary_length(texts).to_numpy() > TEXT_BYTES).tolist()}
+        for t in self.added:
+            apart.update(pc.indices_nonzero(pc.match_substring(texts, t)).to_pylist())
+        return self.texts.encode_all(texts, {i: self.encode(texts[i].as_py()).tobytes() for i in apart})
 
 
 @functools.cache

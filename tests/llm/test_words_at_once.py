@@ -50,3 +50,13 @@ def test_shards_do_not_depend_on_how_texts_are_taken_together(spark, tmp_path, m
         tokens.write(rows, f"{tmp_path}/{i}", partitions=2)
         ids.append(sorted((r["start"], r["doc_id"], *r["ids"]) for r in tokens.read(spark, f"{tmp_path}/{i}").collect()))
     assert ids[0] == ids[1] == ids[2] and len(ids[0]) == 60
+
+
+def test_long_texts_stay_out_of_the_common_arrays(monkeypatch):
+    monkeypatch.setattr(tokens, "TEXT_BYTES", 1000)
+    encoder, taken = own(), []
+    by_word = encoder.texts._word_with_marks
+    encoder.texts._word_with_marks = lambda w: taken.append(w) or by_word(w)
+    texts = ["x y. " * 201 + "end", " " * 900 + "z", "one two"]  # too long; not every space a cut; plain
+    assert [x.tolist() for x in encoder.encode_all(pa.array(texts))] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    assert {*taken} <= {"", "one", "two"}
