@@ -1,9 +1,9 @@
 """Nearest-neighbour joins and the matchers built on them.
 
-Points fall into uniform cells as wide as the search radius, so all neighbours
-of a point lie in the 27 cells around its own.  The local side is repeated for
-these cells, joined on the cell, and the distance decides; Spark may broadcast
-or shuffle either side, and splits crowded cells at run time.
+The nearest points come from the leaves of a tree (:mod:`knn`), whatever the
+radius and the density.  All pairs within a radius (:func:`within`) are as many
+as the radius lets in: points fall into uniform cells as wide as it, so all
+neighbours of a point lie in the 27 cells around its own.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pointweave.functions import geometry as g
 from pointweave.functions.se3 import Pose
+from pointweave.operators import knn
 from pointweave.operators.predicates import moved
 from pointweave.operators.voxels import bounding_box, shapes
 
@@ -47,6 +48,11 @@ def nearest(pairs: DataFrame, k: int = 1) -> DataFrame:
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def nearest_within(local: DataFrame, world: DataFrame, radius: float, k: int = 1, limit: Column | None = None) -> DataFrame:
+    """``nearest(within(local, world, radius, limit), k)`` without all those pairs; ``limit`` may be any."""
+    return nearest(knn.nearest_within(local, world, k, F.lit(float(radius * radius)) if limit is None else limit), k)
+
+
 def nearest_unbounded(local: DataFrame, world: DataFrame, rounds: int = 12) -> DataFrame:
     """The nearest global point of every local point, at any distance.
 
@@ -134,7 +140,7 @@ def _unmoved(pairs: DataFrame, local: DataFrame) -> DataFrame:
 
 def _neighbourhood(local: DataFrame, world: DataFrame, radius: float, k: int) -> DataFrame:
     """For each local point the shape of its ``k`` nearest global ones within ``radius``."""
-    near = nearest(within(local, world, radius), max(k, 2)).select("local_id", *[F.col(f"g{a}").alias(a) for a in "xyz"])
+    near = nearest_within(local, world, radius, max(k, 2)).select("local_id", *[F.col(f"g{a}").alias(a) for a in "xyz"])
     return shapes(near, ["local_id"], 3)
 
 
