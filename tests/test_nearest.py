@@ -51,7 +51,7 @@ def dense(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["line_pairs"])
+@pytest.mark.parametrize("name", ["line_pairs", "plane_pairs"])
 def test_rows_follow_the_points(spark, dense, name):
     assert most_rows(queries.QUERIES[name](spark, dense)) <= 12 * DENSE
 
