@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,31 +52,9 @@ def nearest_within(local: DataFrame, world: DataFrame, radius: float, k: int = 1
     return nearest(knn.nearest_within(local, world, k, F.lit(float(radius * radius)) if limit is None else limit), k)
 
 
-def nearest_unbounded(local: DataFrame, world: DataFrame, rounds: int = 12) -> DataFrame:
-    """The nearest global point of every local point, at any distance.
-
-    The radius begins at the mean spacing and doubles for the points that are
-    left; a hit within the radius is final.  The last round's radius covers
-    the extent of both clouds.
-    """
-    a, b = bounding_box(local).first(), bounding_box(world).first()
-    n = world.count()
-    if a["min_x"] is None or not n:
-        return within(local, world, 1.0)
-    spans = [max(a[f"max_{k}"], b[f"max_{k}"]) - min(a[f"min_{k}"], b[f"min_{k}"]) for k in "xyz"]
-    extent = math.sqrt(sum(s * s for s in spans)) * 1.001 + 1e-9
-    radius = max(2 * (max(np.prod([max(b[f"max_{k}"] - b[f"min_{k}"], 1e-3) for k in "xyz"]), 1e-12) / n) ** (1 / 3), extent / 2**rounds)
-    out, left = None, local
-    while True:
-        radius = min(radius, extent)
-        hit = nearest(within(left, world, radius)).persist()
-        out = hit if out is None else out.unionByName(hit)
-        if radius >= extent:
-            return out
-        left = left.join(hit.select(F.col("local_id").alias("point_id")), "point_id", "left_anti").persist()
-        if not left.limit(1).count():
-            return out
-        radius *= 2
+def nearest_unbounded(local: DataFrame, world: DataFrame) -> DataFrame:
+    """The nearest global point of every local one, at any distance."""
+    return nearest_within(local, world, math.inf).persist()
 
 
 def boxes_meet(local: DataFrame, world: DataFrame, margin: float) -> bool:

@@ -321,7 +321,7 @@ def axis_histogram(spark, d):
 
 @query(f"with {PTS}, {NN} select local_id, global_id, round(d2,6) d2 from d where d2 < 0.25 qualify row_number() over (partition by local_id order by d2, global_id)=1")
 def nn_threshold(spark, d):
-    return neighbours.nearest(neighbours.within(*sides(spark, d), 0.5)).select("local_id", "global_id", F.round("d2", 6).alias("d2"))
+    return neighbours.nearest_within(*sides(spark, d), 0.5).select("local_id", "global_id", F.round("d2", 6).alias("d2"))
 
 
 @query(f"with {PTS}, {NN} select local_id, global_id, round(d2,6) d2 from d where d2 < 1.0 qualify row_number() over (partition by local_id order by d2, global_id)<=3")
@@ -331,7 +331,7 @@ def nn_topk(spark, d):
 
 @query(f"with {PTS}, {NN}, n1 as (select * from d where d2 < 1.0 qualify row_number() over (partition by local_id order by d2, global_id)=1) select local_id, global_id from n1 qualify row_number() over (partition by global_id order by local_id)=1")
 def nn_exclusive(spark, d):
-    return neighbours.each_global_once(neighbours.nearest(neighbours.within(*sides(spark, d), 1.0))).select("local_id", "global_id")
+    return neighbours.each_global_once(neighbours.nearest_within(*sides(spark, d), 1.0)).select("local_id", "global_id")
 
 
 @query(f"with {PTS}, {NN}, n1 as (select * from d qualify row_number() over (partition by local_id order by d2, global_id)=1) select local_id, global_id, round(d2,6) d2 from n1 qualify row_number() over (order by d2, local_id) <= round(0.8*count(*) over ())")
@@ -343,7 +343,7 @@ def nn_inlier_ratio(spark, d):
 @query(f"with {PTS}, {NN} select count(distinct local_id) as pairs, round(count(distinct local_id) / (select count(*) from pts where point_id%2=0)::double, 6) as ratio from d where d2 < 1.0")
 def paired_ratio(spark, d):
     local, world = sides(spark, d)
-    pairs = neighbours.nearest(neighbours.within(local, world, 1.0)).agg(F.count("*").alias("pairs"))
+    pairs = neighbours.nearest_within(local, world, 1.0).agg(F.count("*").alias("pairs"))
     return pairs.crossJoin(local.agg(F.count("*").alias("_n"))).select("pairs", F.round(F.col("pairs") / F.col("_n"), 6).alias("ratio"))  # one row each
 
 

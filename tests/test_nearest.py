@@ -51,7 +51,7 @@ def dense(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["line_pairs", "plane_pairs"])
+@pytest.mark.parametrize("name", ["line_pairs", "plane_pairs", "nn_exclusive", "nn_threshold", "paired_ratio"])
 def test_rows_follow_the_points(spark, dense, name):
     assert most_rows(queries.QUERIES[name](spark, dense)) <= 12 * DENSE
 
@@ -88,3 +88,10 @@ def test_nearest_of_odd_points_and_empty_sides(spark):
     assert neighbours.nearest_within(none, world, 1.0, 3).count() == neighbours.nearest_within(local, none, 1.0, 3).count() == 0
     own = F.lit(0.2) + F.lit(0.0) * F.col("lx")
     assert neighbours.nearest_within(local, world, np.inf, 1, own).count() == 0
+
+
+def test_nearest_at_any_distance(spark):
+    r = np.random.default_rng(6)
+    at, bt = np.concatenate([r.normal(size=(50, 3)), [[1e6, 0, 0]]]), r.normal(size=(60, 3))
+    got = neighbours.nearest_unbounded(frame(spark, range(51), at), frame(spark, range(60), bt)).select("local_id", "global_id", "d2").collect()
+    assert len(got) == 51 and {tuple(x) for x in got} == brute(range(51), at, range(60), bt, 1, np.inf)
