@@ -85,12 +85,10 @@ def match_distance(
     own = local if paired is None else local.join(paired.select(F.col("local_id").alias("point_id")), "point_id", "left_anti")
     there = moved(own, pose)
     angle = math.radians(angular_deg)
-    far = there.agg(F.max(g.squared_norm(F.col("x"), F.col("y"), F.col("z")))).first()[0] or 0.0
-    radius = math.sqrt(threshold**2 + angle**2 * far)
     limit = F.lit(threshold**2) + F.lit(angle**2) * g.squared_norm(F.col("lx"), F.col("ly"), F.col("lz"))
     if not boxes_meet(there, world, threshold + margin):
-        return _unmoved(within(there.where(F.lit(False)), world, radius), own)
-    pairs = nearest(within(there, world, radius, limit), per_point).select(*PAIR)
+        return _unmoved(within(there.where(F.lit(False)), world, threshold), own)
+    pairs = nearest_within(there, world, math.inf, per_point, limit).select(*PAIR)
     return _unmoved(pairs if reuse_global else each_global_once(pairs), own)
 
 

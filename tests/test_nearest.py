@@ -95,3 +95,18 @@ def test_nearest_at_any_distance(spark):
     at, bt = np.concatenate([r.normal(size=(50, 3)), [[1e6, 0, 0]]]), r.normal(size=(60, 3))
     got = neighbours.nearest_unbounded(frame(spark, range(51), at), frame(spark, range(60), bt)).select("local_id", "global_id", "d2").collect()
     assert len(got) == 51 and {tuple(x) for x in got} == brute(range(51), at, range(60), bt, 1, np.inf)
+
+
+def test_rows_of_a_match_follow_the_points(spark, dense):
+    local, world = queries.sides(spark, dense)
+    assert most_rows(neighbours.match_distance(local, world, Pose.identity(), 0.5, 0.0, 1, True)) <= 12 * DENSE
+
+
+def test_match_limits_grow_with_the_range(spark):
+    r = np.random.default_rng(8)
+    at, bt = r.normal(0, 3, (200, 3)), r.normal(0, 3, (300, 3))
+    got = neighbours.match_distance(frame(spark, range(200), at), frame(spark, range(300), bt), Pose.identity(), 0.3, 10.0, 2, True).collect()
+    want = set()
+    for i, p in enumerate(at):
+        want |= {x[:2] for x in brute([i], [p], range(300), bt, 2, 0.3**2 + np.radians(10.0) ** 2 * (p @ p))}
+    assert {(x.local_id, x.global_id) for x in got} == want and len(got) == len(want)
