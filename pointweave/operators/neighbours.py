@@ -163,7 +163,7 @@ def match_adaptive(
     from pointweave.operators.voxels import confidence_bounds
 
     there = moved(local, pose)
-    near = nearest(within(there, world, radius), max(2, min(10, max(plane_points, most_pairs)))).persist()
+    near = nearest_within(there, world, radius, max(2, min(10, max(plane_points, most_pairs)))).persist()
     bounds = confidence_bounds(near.where("rank <= 2"), "d2", interval, 50)
     limit = max(minimum_distance**2, bounds[1]) if bounds else minimum_distance**2
     own = local.select(F.col("point_id").alias("local_id"), *[F.col(a).alias(f"l{a}") for a in "xyz"])

@@ -326,7 +326,7 @@ def nn_threshold(spark, d):
 
 @query(f"with {PTS}, {NN} select local_id, global_id, round(d2,6) d2 from d where d2 < 1.0 qualify row_number() over (partition by local_id order by d2, global_id)<=3")
 def nn_topk(spark, d):
-    return neighbours.nearest(neighbours.within(*sides(spark, d), 1.0), 3).select("local_id", "global_id", F.round("d2", 6).alias("d2"))
+    return neighbours.nearest_within(*sides(spark, d), 1.0, 3).select("local_id", "global_id", F.round("d2", 6).alias("d2"))
 
 
 @query(f"with {PTS}, {NN}, n1 as (select * from d where d2 < 1.0 qualify row_number() over (partition by local_id order by d2, global_id)=1) select local_id, global_id from n1 qualify row_number() over (partition by global_id order by local_id)=1")

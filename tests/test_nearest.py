@@ -51,7 +51,7 @@ def dense(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["line_pairs", "plane_pairs", "nn_exclusive", "nn_threshold", "paired_ratio"])
+@pytest.mark.parametrize("name", ["line_pairs", "plane_pairs", "nn_exclusive", "nn_threshold", "paired_ratio", "nn_topk"])
 def test_rows_follow_the_points(spark, dense, name):
     assert most_rows(queries.QUERIES[name](spark, dense)) <= 12 * DENSE
 
@@ -110,3 +110,11 @@ def test_match_limits_grow_with_the_range(spark):
     for i, p in enumerate(at):
         want |= {x[:2] for x in brute([i], [p], range(300), bt, 2, 0.3**2 + np.radians(10.0) ** 2 * (p @ p))}
     assert {(x.local_id, x.global_id) for x in got} == want and len(got) == len(want)
+
+
+def test_rows_of_the_adaptive_matcher_follow_the_points(spark, dense, monkeypatch):
+    seen = []
+    kept = neighbours.nearest_within
+    monkeypatch.setattr(neighbours, "nearest_within", lambda *a, **k: seen.append(kept(*a, **k)) or seen[-1])
+    neighbours.match_adaptive(*queries.sides(spark, dense), Pose.identity(), 0.9, 1.2, 1.0)
+    assert len(seen) == 1 and most_rows(seen[0].select("local_id")) <= 12 * DENSE
