@@ -10,6 +10,7 @@ the radius.  Of points at one place the ``k`` least ids are enough.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from weakref import WeakKeyDictionary
@@ -34,8 +35,8 @@ Boxes = list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 class Index:
     """The leaves of a global side, kept, with their boxes from the root downward.
 
-    Range partitions differ from run to run, so the leaves are a local
-    checkpoint: they are never made anew, and go when nothing refers to them.
+    Range partitions differ from run to run, so the leaves are written once to
+    the shared folder and never made anew, even when an executor is lost.
     """
 
     leaves: DataFrame
@@ -49,6 +50,15 @@ class Index:
 _INDEXES: WeakKeyDictionary[DataFrame, dict[int, Index]] = WeakKeyDictionary()
 
 
+def _stored(df: DataFrame, schema: str) -> DataFrame:
+    """``df`` written to a fresh path in the folder that driver and executors share, and read back."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/leaves-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def pieces(at: np.ndarray, size: int) -> list[np.ndarray]:
     """Indices of points by pieces of ``size`` and one of the rest, halved across the widest axis."""
     todo, done = [np.arange(len(at))], []
@@ -125,7 +135,7 @@ def indexed(world: DataFrame, k: int) -> Index:
             yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array([len(p) for p in parts], pa.int32()), *map(pa.array, np.array(edges).T), *_packed(b, columns, parts)], ["leaf", "n", *EDGES, *columns])
 
     schema = "leaf bigint, n int, " + ", ".join(f"{e} double" for e in EDGES) + ", global_id array<bigint>, gx array<double>, gy array<double>, gz array<double>"
-    leaves = _together(own.select(*columns), "g", "global_id", scale, told["n"] <= ONE_TASK).mapInArrow(cut, schema).localCheckpoint()
+    leaves = _stored(_together(own.select(*columns), "g", "global_id", scale, told["n"] <= ONE_TASK).mapInArrow(cut, schema), schema)
     boxes = leaves.select("leaf", "n", *EDGES).toPandas().sort_values("leaf")
     edges = boxes[EDGES].to_numpy(float)
     levels = [(edges[:, :3], edges[:, 3:], boxes["n"].to_numpy("int64"))]
